@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, media, mixing, packing, quality, sharding
+from . import ann, html, jaccard, langid, media, mixing, packing, quality, sharding
 from .common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", width=4, share=(85, 100))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -64,7 +68,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_quality, op5_mixing, op6_html_extraction, op8_media, op9_sharding, op10_nearest)
+    f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_quality, op5_mixing, op6_html_extraction, op7_ngram_jaccard, op8_media, op9_sharding, op10_nearest)
 }
 #: None of these can be told in DuckDB's SQL (CRC-32, tokenizers, fitted models, files); tests/llm holds each against brute force.
 ORACLES: dict[str, str] = {}
