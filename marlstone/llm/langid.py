@@ -125,15 +125,17 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, vocabulary
     return langs, np.stack([fitted.get(x, np.full(len(pieces), 1 / len(pieces))) for x in langs], 1)
 
 
-def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], probs: np.ndarray, vocabulary_path: str, floor: float = 1e-9, undetermined: str = "und") -> DataFrame:
-    """Predict the language of every whole text: id column, lang_pred string, score double.
+def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], probs: np.ndarray, vocabulary_path: str, floor: float = 1e-9, undetermined: str = "und", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Predict the language of every whole text: id column, lang_pred string, score double, and the columns
+    named in `keep`.
 
     Each run of letters is a word; a text's log-likelihood is the sum of its words' forward scores. The score is the
     posterior of the best language under equal priors; ties go to the language that sorts first. Texts that are null or
     have no letter get `undetermined` and 0, and so does every text if no language was learned. Repeated rows give
     repeated results; an empty table gives none; other columns are not read.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
+    kind, *kept = (f.dataType.simpleString() for f in rows.schema.fields if f.name != "text")
     n = len(langs)
     model_key = hash((tuple(langs), probs.tobytes(), floor))
 
@@ -167,6 +169,8 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
             best = int(total.argmax())
             pred.append(langs[best])
             score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+        names = ["id", "lang_pred", "score", *(f"_keep_{i}" for i in range(len(keep)))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], names)
 
-    return map_batches(docs.select(id_col, text_col), predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = ", ".join([f"id {kind}, lang_pred string, score double", *(f"_keep_{i} {k}" for i, k in enumerate(kept))])
+    return map_batches(rows, predict, schema).withColumnsRenamed({"id": id_col} | {f"_keep_{i}": c for i, c in enumerate(keep)})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, jaccard, langid, media, mixing, packing, quality, sharding
+from . import ann, html, jaccard, langid, media, mixing, packing, quality, sharding, suffix_dedup
 from .common import held_out
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", WORD_BPE, 2048, 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), "doc_id", "text", 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     known = labels.where("quality is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
@@ -68,7 +72,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_quality, op5_mixing, op6_html_extraction, op7_ngram_jaccard, op8_media, op9_sharding, op10_nearest)
+    f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_suffix_dedup, op4_quality, op5_mixing, op6_html_extraction, op7_ngram_jaccard, op8_media, op9_sharding, op10_nearest)
 }
 #: None of these can be told in DuckDB's SQL (CRC-32, tokenizers, fitted models, files); tests/llm holds each against brute force.
 ORACLES: dict[str, str] = {}
