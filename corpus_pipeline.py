@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import jaccard, langid, mixing, packing, suffix_dedup
-from marlstone.llm.common import stored
+from marlstone.llm.common import stored, tuned
 from marlstone.llm.queries import PIECES, WORD_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,6 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Set lang to the predicted language; documents without a language (null, or without a letter) go."""
+    tuned(spark)
     langs, probs = langid.train(docs, "doc_id", "text", "lang", PIECES)
     found = langid.identify(docs, "doc_id", "text", langs, probs, PIECES, keep=("text", "source", "n_chars"))
     return found.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -27,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 Jaccard similarity of five-word shingles, the one with the smallest id
     stays, and of repeated rows one. Rows with a null id have no group and stay."""
+    tuned(spark)
     groups = jaccard.near_duplicates(docs, "doc_id", "text", width=5, share=(80, 100))
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -35,6 +37,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out every 200-byte string that occurs again; documents of which nothing but white space is left go."""
+    tuned(spark)
     spans = suffix_dedup.repeated_spans(suffix_dedup.keyed(docs, "doc_id", "text"))
     clean = suffix_dedup.apply_spans(docs, "doc_id", "text", spans, keep=("lang", "source"))
     clean = clean.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
@@ -43,11 +46,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources up to four times, in a temperature mixture."""
+    tuned(spark)
     return mixing.mix(docs, "doc_id", "text", "source", max_repeats=4.0, keep=("text", "lang", "n_chars")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row per piece of a document."""
+    tuned(spark)
     return packing.pack(docs, "doc_id", "text", WORD_BPE, 2048, 0)
 
 

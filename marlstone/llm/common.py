@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of an Arrow batch are handed on in slices of about so many bytes, or one row.
+SLICE_BYTES = 2 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Small Arrow batches, as rows here hold whole texts: they bound what JVM and Python workers hold at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
@@ -38,12 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Run fn on each Arrow batch; nothing is kept from one batch to the next but caches."""
+    """Run fn on slices of about SLICE_BYTES of each Arrow batch; nothing is kept from one to the next but caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            rows = max(1, min(4096, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 

@@ -17,7 +17,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers; beyond it, it starts anew.
 CACHE = 300_000
 _PIECES: dict[str, list[str]] = {}
-_SCORES: dict[int, tuple[dict[str, int], list]] = {}
+_SCORES: dict[int, tuple] = {}
 
 
 def vocabulary(path: str, longest: int = 12) -> list[str]:
@@ -144,8 +144,8 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
         if model_key not in _SCORES:
             _SCORES.clear()
             table = dict(zip(pieces, map(tuple, probs.tolist())))
-            _SCORES[model_key] = {}, [], table
-        index, rows, table = _SCORES[model_key]
+            _SCORES[model_key] = {}, np.zeros((CACHE, n)), table
+        index, scores, table = _SCORES[model_key]
         longest = max(map(len, pieces))
         texts = batch.column(1).to_pylist()
         split = [LETTERS.findall((t or "").lower()) for t in texts]
@@ -154,12 +154,12 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
             new = set(chain.from_iterable(split)).difference(index)
             if len(index) + len(new) > CACHE:
                 index.clear()
-                rows.clear()
                 new = set(chain.from_iterable(split))
+            if len(new) > len(scores):  # one text may have more distinct words than the cache
+                _SCORES[model_key] = index, scores, table = index, np.zeros((len(new), n)), table
             for w in new:
-                index[w] = len(rows)
-                rows.append(forward("▁" + w, table, n, longest, floor))
-            scores = np.array(rows).reshape(-1, n)
+                scores[len(index)] = forward("▁" + w, table, n, longest, floor)
+                index[w] = len(index)
         for words in split:
             if not words or not n:
                 pred.append(undetermined)

@@ -32,7 +32,7 @@ def _in_parts(payloads: list[bytes], most: int) -> Iterator[slice]:
         yield slice(start, len(payloads))
 
 
-def text_media(docs: DataFrame, id_col: str, text_col: str, with_media: bool = False, part_bytes: int = 2 << 20) -> DataFrame:
+def text_media(docs: DataFrame, id_col: str, text_col: str, with_media: bool = False, part_bytes: int = 1 << 20) -> DataFrame:
     """Store every whole text as a grey baseline JPEG, read it back and compute its features.
 
     Returns the id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (both of what was read back), media_bytes,
