@@ -62,6 +62,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Reco
     return df.mapInArrow(run, schema)
 
 
+#: Tables of at most so many bytes may be sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_stored(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    """Join with a stored table: broadcast if its measured rows take at most BROADCAST_BYTES, else by shuffles."""
+    fits = small.count() * row_bytes <= BROADCAST_BYTES
+    return large.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text leaves 2 modulo 4; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import BROADCAST_BYTES, join_stored, map_batches, stored
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -104,6 +105,22 @@ def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(a) + len(b) - both)
 
 
+def _of_hubs(first: DataFrame, hubs: DataFrame) -> DataFrame:
+    """rep, n, mark for the marks that several sets have: told apart in the scan if they fit in a broadcast."""
+    if hubs.count() * 8 > BROADCAST_BYTES:
+        return first.select("rep", "n", F.explode("marks").alias("mark"))  # the join with the hubs filters
+    live = first.sparkSession.sparkContext.broadcast(np.sort(hubs.select("mark").toArrow()["mark"].to_numpy()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(2)
+        owner, mark = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+        keep = live.value[np.minimum(np.searchsorted(live.value, mark), max(len(live.value) - 1, 0))] == mark if len(live.value) else np.zeros(len(mark), bool)
+        at = pa.array(owner[keep])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(mark[keep])], ["rep", "n", "mark"])
+
+    return map_batches(first.select("rep", "n", "marks"), run, "rep long, n long, mark long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
 
@@ -174,16 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
     described = stored(map_batches(rows, describe, "id long, n long, digest binary, marks array<long>"), "described")
     own = described.where("id is not null and digest is not null")
     reps = stored(own.groupBy("digest").agg(F.min("id").alias("rep")), "reps")
-    first = own.join(reps, "digest").where("id = rep").select("rep", "n", F.explode("marks").alias("mark"))
-    hubs = first.groupBy("mark").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top"), F.count("*").alias("size")).where("hub < _top").drop("_top")
-    buckets = stored(first.join(hubs, "mark"), "buckets")
-    wanted = buckets.select("rep").distinct()
+    first = own.join(reps, "digest").where("id = rep").select("rep", "n", "marks")
+    hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top"), F.count("*").alias("size")).where("hub < _top").drop("_top")
+    hubs = stored(hubs, "hubs")
+    buckets = stored(_of_hubs(first, hubs).join(hubs, "mark"), "buckets")
+    wanted = stored(buckets.select(F.col("rep").alias("id")).distinct(), "wanted")
 
     def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["rep", "tokens", "bits"])
 
-    sets = stored(map_batches(rows.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi"), set_rows, "rep long, tokens binary, bits binary"), "sets")
+    sets = stored(map_batches(join_stored(rows, wanted, "id", "left_semi", 16), set_rows, "rep long, tokens binary, bits binary"), "sets")
     sizes = (F.col("n") * share[1] >= F.col("m") * share[0]) & (F.col("m") * share[1] >= F.col("n") * share[0])
     hub_size = buckets.where("rep = hub").groupBy("mark").agg(F.min("n").alias("m"))
     stars = buckets.where("rep <> hub").join(hub_size, "mark").where(sizes).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
