@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a table that is read more than once, in memory or on the executors' disks.
+
+    Parts that are lost with an executor are computed again from what df is made of. It is let go with the session or
+    by clearCache().
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
     """Run fn on slices of about SLICE_BYTES of each Arrow batch; nothing is kept from one to the next but caches."""
 
@@ -66,8 +76,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Reco
 BROADCAST_BYTES = 32 << 20
 
 
-def join_stored(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
-    """Join with a stored table: broadcast if its measured rows take at most BROADCAST_BYTES, else by shuffles."""
+def join_measured(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    """Join with a kept or stored table: broadcast if its measured rows take at most BROADCAST_BYTES, else by shuffles."""
     fits = small.count() * row_bytes <= BROADCAST_BYTES
     return large.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, stored
+from .common import kept, map_batches
 
 _RAW = "script|style|noscript|template|iframe|svg|textarea|select|title|object|canvas|math"
 _TOKEN = re.compile(
@@ -168,7 +168,7 @@ def extract(pages: DataFrame, id_col: str, url_col: str, html_col: str, winners:
     votes = map_batches(rows.select("host", "html"), vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     won = votes.withColumn("rank", rank).where(F.col("rank") <= winners).groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
-    won = stored(won, "paths")
+    won = kept(won)
     size = won.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "paths")) + 64)).first()[0] or 0
     joined = rows.join(F.broadcast(won) if size <= broadcast_bytes else won.hint("merge"), "host", "left").select("id", "url", "html", "paths")
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, join_stored, map_batches, stored
+from .common import BROADCAST_BYTES, join_measured, kept, map_batches, stored
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -190,22 +190,22 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
 
     described = stored(map_batches(rows, describe, "id long, n long, digest binary, marks array<long>"), "described")
     own = described.where("id is not null and digest is not null")
-    reps = stored(own.groupBy("digest").agg(F.min("id").alias("rep")), "reps")
+    reps = kept(own.groupBy("digest").agg(F.min("id").alias("rep")))
     first = own.join(reps, "digest").where("id = rep").select("rep", "n", "marks")
     hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top"), F.count("*").alias("size")).where("hub < _top").drop("_top")
-    hubs = stored(hubs, "hubs")
+    hubs = kept(hubs)
     buckets = stored(_of_hubs(first, hubs).join(hubs, "mark"), "buckets")
-    wanted = stored(buckets.select(F.col("rep").alias("id")).distinct(), "wanted")
+    wanted = kept(buckets.select(F.col("rep").alias("id")).distinct())
 
     def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["rep", "tokens", "bits"])
 
-    sets = stored(map_batches(join_stored(rows, wanted, "id", "left_semi", 16), set_rows, "rep long, tokens binary, bits binary"), "sets")
+    sets = stored(map_batches(join_measured(rows, wanted, "id", "left_semi", 16), set_rows, "rep long, tokens binary, bits binary"), "sets")
     sizes = (F.col("n") * share[1] >= F.col("m") * share[0]) & (F.col("m") * share[1] >= F.col("n") * share[0])
     hub_size = buckets.where("rep = hub").groupBy("mark").agg(F.min("n").alias("m"))
     stars = buckets.where("rep <> hub").join(hub_size, "mark").where(sizes).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_verified(stars, sets, share), "stars")
+    links = kept(_verified(stars, sets, share))
     formed = components(links)
     labelled = buckets.where("size > 2").join(formed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_marks = labelled.groupBy("mark").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("mark")
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
         return _cross_pairs(group, share, key[1].as_py() == key[2].as_py())
 
     crossed = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits").groupBy("mark", "i", "j").applyInArrow(look, "a long, b long").distinct()
-    more = stored(_verified(crossed, sets, share), "crossed")
+    more = _verified(crossed, sets, share)
     found = components(links.union(more))
     rep_component = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = described.join(rep_component, "digest", "left")

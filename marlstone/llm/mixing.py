@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import kept
 
 
 @dataclass
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeat
         F.when(F.col(source_col).isNull(), "null").otherwise(F.concat(F.lit("is "), F.col(source_col).cast("string"))).alias("_key"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"), *others,
     ).withColumn("_block", F.pmod(F.col("_hash"), F.lit(blocks)).cast("int"))
-    sizes = stored(rows.groupBy("_key", "_block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "blocks")
+    sizes = kept(rows.groupBy("_key", "_block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")))
     spark = docs.sparkSession
     tokens = {r["_key"]: r["t"] for r in sizes.groupBy("_key").agg(F.sum("t").alias("t")).limit(max_sources + 1).collect()}
     if len(tokens) > max_sources:

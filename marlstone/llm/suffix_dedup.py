@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find
-from .common import map_batches, stored
+from .common import kept, map_batches, stored
 from .gsaca import suffix_array
 
 _WIDE = np.random.default_rng(21).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -206,18 +206,18 @@ def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: in
     """
     spark = texts.sparkSession
     grams = _occurrences(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    grams = stored(grams, "grams")
+    grams = kept(grams)
     if grams.count() * 8 <= live_bytes:
         live = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()))
         again = _occurrences(texts, window, gram, live)
     else:
         again = _occurrences(texts, window, gram).join(grams.hint("merge"), "gram", "left_semi")
     again = stored(again, "occurrences")
-    kinds = stored(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "kinds")
+    kinds = kept(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")))
     whole = again.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
     whole = whole.select("key", (F.col("at") - (window - gram)).alias("begin"), (F.col("at") + window).alias("end"))
     edges = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds")
-    asked = stored(kinds.join(edges, "gram").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > hot).alias("hot")), "asked")
+    asked = kept(kinds.join(edges, "gram").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > hot).alias("hot")))
     by_text = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "hot")).alias("asks"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -282,9 +282,8 @@ def apply_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, k
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("key"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
-    kept = [f for f in rows.schema.fields if f.name.startswith("_keep_")]
-    spans = stored(spans, "spans")
-    joined = rows.join(spans, "key", "left").select("id", "text", "spans", *(f.name for f in kept))
+    carried = [f for f in rows.schema.fields if f.name.startswith("_keep_")]
+    joined = rows.join(spans, "key", "left").select("id", "text", "spans", *(f.name for f in carried))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
@@ -296,8 +295,8 @@ def apply_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, k
             for c, v in zip(cols, values):
                 c.append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds)), *batch.columns[3:]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", *(f.name for f in kept)])
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds)), *batch.columns[3:]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", *(f.name for f in carried)])
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: int, end: int>>, kept_text string"
-    out = map_batches(joined, run, ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)]))
+    out = map_batches(joined, run, ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in carried)]))
     return out.withColumnsRenamed({"id": id_col} | {f"_keep_{i}": c for i, c in enumerate(keep)})
