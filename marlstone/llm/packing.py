@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,11 @@ _TOKENIZERS: dict[str, tuple] = {}
 _WORDS: dict[str, dict[bytes, bytes]] = {}
 #: Words whose ids a Python worker remembers; beyond it, it starts anew.
 CACHE = 400_000
+#: ASCII marks that are neither letters, digits nor white space for the tokenizer and open no shortened form or special token.
+MARKS = b'!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 
 
-def _encode(words: list[bytes], path: str) -> list[bytes]:
+def _encode(words: list[bytes], path: str) -> dict[bytes, bytes]:
     """The ids of each word, which has no white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENIZERS:
@@ -31,52 +32,67 @@ def _encode(words: list[bytes], path: str) -> list[bytes]:
         closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         _TOKENIZERS[path] = tokenizer, closes
     tokenizer, closes = _TOKENIZERS[path]
-    out = dict.fromkeys(words, b"")
-    # A word of ASCII letters alone is one unit for the tokenizer and ends with its only word end: many go in one call.
-    plain = [w for w in words if w.isalpha()]
-    lines = [b" ".join(plain[k : k + 50]).decode() for k in range(0, len(plain), 50)]
-    if lines:
-        ids = np.array(list(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False))), "<u4")
-        ends = np.flatnonzero(closes[ids]) + 1
-        assert len(ends) == len(plain)
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(plain, (4 * ends).tolist()):
-            out[w] = raw[at:end]
-            at = end
-    rest = [w for w in words if not w.isalpha()]
+    out: dict[bytes, bytes] = {}
+    # A word of letters alone is one unit for the tokenizer and has one word end, so many go in one call. A line with more
+    # ends than words (some letters in capitals become a letter and a mark) is encoded word by word.
+    plain, rest = [], []
+    for w in words:
+        (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else rest).append(w)
+    lines = [plain[k : k + 100] for k in range(0, len(plain), 100)]
+    for line, e in zip(lines, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        ends = (4 * np.flatnonzero(closes[ids]) + 4).tolist()
+        if len(ends) != len(line):
+            rest += line
+            continue
+        raw = ids.tobytes()
+        out.update(zip(line, [raw[a:b] for a, b in zip([0, *ends], ends)]))
     for w, e in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
         out[w] = array("I", e.ids).tobytes()
-    return [out[w] for w in words]
+    return out
 
 
 def token_ids(texts: list[str | None], path: str, end_id: int = 0) -> list[bytes]:
     """The ids of each text and then end_id, as little-endian unsigned 32-bit numbers.
 
-    No token of this kind of tokenizer spans white space, case does not count, and commas and full stops after letters
-    are units of their own. So ids are found once for each word without these and joined; that gives the same ids as
-    encoding the whole text.
+    No token of this kind of tokenizer spans white space, case does not count, and marks after letters are units of their
+    own. So ids are found once for each word without the marks at its end and joined; that gives the same ids as encoding
+    the whole text.
     """
     words = _WORDS.setdefault(path, {})
-    split = [(t or "").encode().split() for t in texts]
-    new = set(chain.from_iterable(split)).difference(words)
-    if len(words) + len(new) > CACHE:
+    if len(words) > CACHE:
         words.clear()
-        new = set(chain.from_iterable(split))
-    cores, tails = {}, set()
+    docs, new = [], set()
+    for t in texts:
+        data = (t or "").encode()
+        split = (data if b"<|" in data else data.lower()).split()
+        parts = list(map(words.get, split))
+        gaps = [(i, split[i]) for i, ids in enumerate(parts) if ids is None] if None in parts else []
+        new.update([w for _, w in gaps])
+        docs.append((parts, gaps))
+    units, cut = set(), []
     for w in new:
-        core = w.rstrip(b".,")
-        if core.isalpha():
-            cores[w] = core.lower(), (tail := w[len(core) :])
-            tails.add(tail)
+        core = w.rstrip(MARKS)
+        if len(core) == len(w) or not core[-1:].isalpha():
+            units.add(w)
         else:
-            cores[w] = (w if b"<|" in w else w.lower()), b""
-    units = list({core for core, _ in cores.values()}.union(tails) - {b""})
-    ids = dict(zip(units, _encode(units, path)))
-    ids[b""] = b""
-    for w, (core, tail) in cores.items():
-        words[w] = ids[core] + ids[tail]
-    end = array("I", [end_id]).tobytes()
-    return [b"".join(map(words.__getitem__, s)) + end for s in split]
+            tail = w[len(core) :]
+            cut.append((w, core, tail))
+            if core not in words:
+                units.add(core)
+            if tail not in words:
+                units.add(tail)
+    if units:
+        words.update(_encode(list(units), path))
+    for w, core, tail in cut:
+        words[w] = words[core] + words[tail]
+    end, out = array("I", [end_id]).tobytes(), []
+    for parts, gaps in docs:
+        for i, w in gaps:
+            parts[i] = words[w]
+        parts.append(end)
+        out.append(b"".join(parts))
+    return out
 
 
 def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
