@@ -46,6 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files that led to the table
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,9 +77,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Reco
 BROADCAST_BYTES = 32 << 20
 
 
-def join_measured(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+def join_measured(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int | Column) -> DataFrame:
     """Join with a kept or stored table: broadcast if its measured rows take at most BROADCAST_BYTES, else by shuffles."""
-    fits = small.count() * row_bytes <= BROADCAST_BYTES
+    size = small.count() * row_bytes if isinstance(row_bytes, int) else small.agg(F.sum(row_bytes)).first()[0] or 0
+    fits = size <= BROADCAST_BYTES
     return large.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 

@@ -134,16 +134,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def most_different(total: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
+    """In how many tokens two linked sets can differ at most, by the sum of their sizes."""
+    return total - 2 * -(-share[0] * total // (share[0] + share[1]))
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap folded to `size` bytes: it is the one that fewer buckets would have given."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), 0).view(np.uint64)
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, n, m, x, y = batch.columns
+        n, m = n.to_numpy(), m.to_numpy()
+        may = share[1] * np.minimum(n, m) >= share[0] * np.maximum(n, m)
+        limit = most_different(n + m, share)
+        for i in np.flatnonzero(may).tolist():
+            p, q = x[i].as_py(), y[i].as_py()
+            size = min(len(p), len(q))
+            may[i] = int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= limit[i]
+        mask = pa.array(may)
+        return pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    bits = sets.select("rep", F.expr("octet_length(tokens) div 8").cast("bigint").alias("n"), "bits")
+    both = join_measured(pairs, bits.toDF("a", "n", "x"), "a", "inner", F.octet_length("x") + 64)
+    both = join_measured(both, bits.toDF("b", "m", "y"), "b", "inner", F.octet_length("y") + 64)
+    return map_batches(both.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
+
+
 def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool) -> pa.Table:
     """The pairs of a bucket that may be linked and are not known to be in one component."""
     rep, n, comp, hub, block = (group[c].to_numpy() for c in ("rep", "n", "component", "hub", "block"))
-    maps, a, b = [np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()], [], []
+    maps, a, b = group["bits"].to_pylist(), [], []
     sizes = np.array([len(m) for m in maps])
     for size in np.unique(sizes):
         # Bitmaps of other sizes are folded to the smaller one.
         own = np.flatnonzero(sizes == size)
         other = np.flatnonzero(sizes >= size)
-        folded = np.stack([np.bitwise_xor.reduce(maps[i].reshape(-1, size), 0) for i in other]).view(np.uint64)
+        marks = np.stack([folded(maps[i], int(size)) for i in other])
         place = {int(i): k for k, i in enumerate(other)}
         for i in own.tolist():
             may = (comp[other] != comp[i]) & ((sizes[other] > size) | (rep[other] > rep[i])) & (rep[other] != hub[i]) & (rep[i] != hub[i])
@@ -152,10 +183,8 @@ def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool) -> p
                 may &= block[other] != block[i]
             at = np.flatnonzero(may)
             if len(at):
-                differ = np.bitwise_count(folded[at] ^ folded[place[i]]).sum(1)
-                total = n[other[at]] + n[i]
-                # overlap >= share / (1 + share) of the sizes' sum, so the rest bounds the difference
-                at = at[differ <= total - 2 * -(-share[0] * total // (share[0] + share[1]))]
+                differ = np.bitwise_count(marks[at] ^ marks[place[i]]).sum(1)
+                at = at[differ <= most_different(n[other[at]] + n[i], share)]
                 a.append(np.minimum(rep[other[at]], rep[i]))
                 b.append(np.maximum(rep[other[at]], rep[i]))
     return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
@@ -190,10 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
 
     described = stored(map_batches(rows, describe, "id long, n long, digest binary, marks array<long>"), "described")
     own = described.where("id is not null and digest is not null")
-    reps = kept(own.groupBy("digest").agg(F.min("id").alias("rep")))
-    first = own.join(reps, "digest").where("id = rep").select("rep", "n", "marks")
+    reps = kept(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    first = join_measured(own, reps.where("copies > 1").select("digest", "rep"), "digest", "left", 64).where("rep is null or rep = id").select(F.col("id").alias("rep"), "n", "marks")
     hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top"), F.count("*").alias("size")).where("hub < _top").drop("_top")
-    hubs = kept(hubs)
+    hubs = stored(hubs, "hubs")
     buckets = stored(_of_hubs(first, hubs).join(hubs, "mark"), "buckets")
     wanted = kept(buckets.select(F.col("rep").alias("id")).distinct())
 
@@ -202,9 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["rep", "tokens", "bits"])
 
     sets = stored(map_batches(join_measured(rows, wanted, "id", "left_semi", 16), set_rows, "rep long, tokens binary, bits binary"), "sets")
-    sizes = (F.col("n") * share[1] >= F.col("m") * share[0]) & (F.col("m") * share[1] >= F.col("n") * share[0])
-    hub_size = buckets.where("rep = hub").groupBy("mark").agg(F.min("n").alias("m"))
-    stars = buckets.where("rep <> hub").join(hub_size, "mark").where(sizes).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = _may_link(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, share)
     links = stored(_verified(stars, sets, share), "stars")
     formed = components(links)
     labelled = buckets.where("size > 2").join(formed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
