@@ -121,16 +121,23 @@ def _of_hubs(first: DataFrame, hubs: DataFrame) -> DataFrame:
     return map_batches(first.select("rep", "n", "marks"), run, "rep long, n long, mark long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets, which are made again from the texts of rows (id, text)."""
+
+    def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(1).to_pylist(), width)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "tokens"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, x, y = (batch.column(i) for i in range(4))
-        keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), share) for p, q in zip(x.to_pylist(), y.to_pylist())]
+        keep = [linked(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), share) for p, q in zip(x, y)]
         mask = pa.array(keep, pa.bool_())
         return pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = stored(pairs, "pairs")
+    asked = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = stored(map_batches(join_measured(rows, asked, "id", "left_semi", 16), set_rows, "rep long, tokens binary"), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
@@ -144,7 +151,7 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), 0).view(np.uint64)
 
 
-def _may_link(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _may_link(pairs: DataFrame, info: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps allow a link."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -159,7 +166,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
         mask = pa.array(may)
         return pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    bits = sets.select("rep", F.expr("octet_length(tokens) div 8").cast("bigint").alias("n"), "bits")
+    bits = info.select("rep", "n", "bits")
     both = join_measured(pairs, bits.toDF("a", "n", "x"), "a", "inner", F.octet_length("x") + 64)
     both = join_measured(both, bits.toDF("b", "m", "y"), "b", "inner", F.octet_length("y") + 64)
     return map_batches(both.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
@@ -214,37 +221,32 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
         digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         marks = [signatures(s, counts, frequent, share).view(np.int64) for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "digest", "marks"]
+            [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "digest", "bits", "marks"]
         )
 
-    described = stored(map_batches(rows, describe, "id long, n long, digest binary, marks array<long>"), "described")
+    described = stored(map_batches(rows, describe, "id long, n long, digest binary, bits binary, marks array<long>"), "described")
     own = described.where("id is not null and digest is not null")
     reps = kept(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    first = join_measured(own, reps.where("copies > 1").select("digest", "rep"), "digest", "left", 64).where("rep is null or rep = id").select(F.col("id").alias("rep"), "n", "marks")
-    hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top"), F.count("*").alias("size")).where("hub < _top").drop("_top")
+    first = join_measured(own, reps.where("copies > 1").select("digest", "rep"), "digest", "left", 64).where("rep is null or rep = id").select(F.col("id").alias("rep"), "n", "bits", "marks")
+    hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = stored(hubs, "hubs")
     buckets = stored(_of_hubs(first, hubs).join(hubs, "mark"), "buckets")
-    wanted = kept(buckets.select(F.col("rep").alias("id")).distinct())
-
-    def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1).to_pylist(), width)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], ["rep", "tokens", "bits"])
-
-    sets = stored(map_batches(join_measured(rows, wanted, "id", "left_semi", 16), set_rows, "rep long, tokens binary, bits binary"), "sets")
-    stars = _may_link(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, share)
-    links = stored(_verified(stars, sets, share), "stars")
+    wanted = kept(buckets.select("rep").distinct())
+    info = stored(join_measured(first.select("rep", "n", "bits"), wanted, "rep", "left_semi", 16), "info")
+    stars = _may_link(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), info, share)
+    links = stored(_verified(stars, rows, width, share), "stars")
     formed = components(links)
     labelled = buckets.where("size > 2").join(formed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_marks = labelled.groupBy("mark").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("mark")
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = labelled.join(open_marks, "mark").join(sets.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    dealt = labelled.join(open_marks, "mark").join(info.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
 
     def look(key: tuple, group: pa.Table) -> pa.Table:
         return _cross_pairs(group, share, key[1].as_py() == key[2].as_py())
 
     crossed = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits").groupBy("mark", "i", "j").applyInArrow(look, "a long, b long").distinct()
-    more = _verified(crossed, sets, share)
+    more = _verified(crossed, rows, width, share)
     found = components(links.union(more))
     rep_component = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = described.join(rep_component, "digest", "left")
