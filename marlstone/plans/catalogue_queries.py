@@ -1,4 +1,298 @@
-"""Registered catalogue queries and their SQL twins."""
+"""Registered catalogue queries over the driver's tables, each with its SQL twin.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no discs, so orders stand for discs, lines for files or titles, events for log records.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import media, naming, text
+from ..operators import discs, identify, scan, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@_query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, lpad(to_hex(l_partkey), 16, '0') AS x FROM lineitem),
+b AS (SELECT *, substr(x,15,2)||substr(x,13,2)||substr(x,11,2)||substr(x,9,2)||substr(x,7,2)||substr(x,5,2)||substr(x,3,2)||substr(x,1,2) AS le FROM h)
+SELECT l_orderkey, upper(md5(unhex(string_agg(le, '' ORDER BY l_linenumber, l_partkey)))) AS content_hash FROM b GROUP BY l_orderkey""")
+def content_hash(spark, sf_dir):
+    return discs.content_hash(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], F.struct("l_linenumber", "l_partkey"), "l_partkey")
+
+
+def _hashed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_suppkey") % 3)).alias("k"))
+    return lists.select("l_orderkey", F.md5(F.array_join(F.transform("k", lambda x: x.cast("string")), "|")).alias("content_hash"))
+
+
+@_query("""WITH h AS (SELECT l_orderkey, upper(md5(string_agg(CAST(l_suppkey % 3 AS VARCHAR), '|' ORDER BY l_suppkey % 3))) AS k FROM lineitem GROUP BY l_orderkey),
+i AS (SELECT k, count(*) AS discs, min(l_orderkey) AS first_disc FROM h GROUP BY k)
+SELECT l_orderkey, discs, first_disc FROM h JOIN i USING (k)""")
+def hash_index_lookup(spark, sf_dir):
+    orders = _hashed_orders(spark, sf_dir)
+    index = discs.hash_index(orders, "content_hash", "l_orderkey")
+    found = discs.lookup(orders, index, "content_hash")
+    return found.select("l_orderkey", F.size("paths").cast("bigint").alias("discs"), F.get("paths", F.lit(0)).alias("first_disc"))
+
+
+@_query("""WITH b AS (SELECT DISTINCT o_custkey, o_orderkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+s AS (SELECT o_custkey, o_orderkey, list(p_brand ORDER BY p_brand) AS l FROM b GROUP BY ALL),
+p AS (SELECT x.o_custkey, x.o_orderkey AS small, y.o_orderkey AS large FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND len(x.l) < len(y.l) AND list_has_all(y.l, x.l))
+SELECT o_custkey, o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM p WHERE large = o_orderkey) THEN 'composite' WHEN EXISTS (SELECT 1 FROM p WHERE small = o_orderkey) THEN 'constituent' ELSE 'atomic' END AS kind,
+coalesce((SELECT count(*) FROM p WHERE large = o_orderkey), 0) AS n_constituents FROM s""")
+def title_relations(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    titles = _t(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.collect_set("p_brand").alias("segments"))
+    found = discs.title_relations(titles, "o_custkey", "o_orderkey", "segments")
+    return found.select("o_custkey", "o_orderkey", "kind", F.coalesce(F.size("constituents"), F.lit(0)).cast("bigint").alias("n_constituents"))
+
+
+_EVENTS = ("click", "view", "purchase", "signup")
+
+
+@_query("SELECT user_id, " + ", ".join(f"arg_max(value, (ts, event_id)) FILTER (WHERE event_type = '{e}') AS last_{e}" for e in _EVENTS) + " FROM events GROUP BY user_id")
+def eav_last_write_pivot(spark, sf_dir):
+    return scan.last_write_pivot(_t(spark, sf_dir, "events"), ["user_id"], "event_type", "value", F.struct("ts", "event_id"), {e: f"last_{e}" for e in _EVENTS})
+
+
+@_query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_view FROM events""")
+def progress_forward_fill(spark, sf_dir):
+    filled = identify.forward_fill(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("value")), "last_view")
+    return filled.select("event_id", "user_id", "last_view")
+
+
+@_query("""SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_quantity >= 10) >= 3 AND max(l_quantity) FILTER (WHERE l_quantity >= 10) / min(l_quantity) FILTER (WHERE l_quantity >= 10) <= 1.2::DOUBLE
+AND max(l_quantity) FILTER (WHERE l_quantity >= 10) <= 45 THEN 'Series' ELSE 'Movie' END AS content_kind FROM lineitem GROUP BY l_orderkey""")
+def content_kind(spark, sf_dir):
+    return discs.content_kind(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_quantity"), 10, 45)
+
+
+@_query("SELECT l_orderkey, arg_max(l_linenumber, (l_quantity, l_linenumber)) AS main_title FROM lineitem GROUP BY l_orderkey")
+def main_title(spark, sf_dir):
+    return discs.main_title(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", F.col("l_quantity"), F.col("l_linenumber"))
+
+
+@_query(r"""SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*[:cntrl:]]', ' ', 'g'), '\s+', ' ', 'g')), '[. ]+$', '') AS name FROM pages""")
+def sanitise_names(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.sanitise(F.col("url")).alias("name"))
+
+
+@_query(r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[ -]', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') || '-' || p_size AS slug FROM part""")
+def title_slug(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.title_slug(F.col("p_name"), F.col("p_size")).alias("slug"))
+
+
+@_query("""SELECT doc_id, CASE WHEN n_chars >= 3600 THEN format('{:d}:{:02d}:{:02d}', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE format('{:d}:{:02d}', n_chars // 60, n_chars % 60) END AS duration,
+format('{:d}:{:02d}:{:02d}', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS full_duration FROM documents""")
+def format_duration(spark, sf_dir):
+    n = F.col("n_chars")
+    return _t(spark, sf_dir, "documents").select("doc_id", text.format_duration(n).alias("duration"), text.format_duration_full(n).alias("full_duration"))
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS seconds FROM documents""")
+def parse_duration(spark, sf_dir):
+    shown = text.format_duration_full(F.col("n_chars"))
+    label = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), shown)).otherwise(shown)
+    return _t(spark, sf_dir, "documents").select("doc_id", text.parse_duration(label).alias("seconds"))
+
+
+@_query("""WITH f AS (SELECT * FROM events WHERE event_type = 'purchase'), m AS (SELECT f.event_id AS feature, t.event_id AS match, row_number() OVER (PARTITION BY f.event_id ORDER BY t.event_id) AS r FROM f JOIN events t ON t.user_id = f.user_id
+AND t.event_type = 'view' AND abs(t.value - f.value) <= greatest(f.value / 20, 0.5)) SELECT feature, match FROM m WHERE r = 1""")
+def tolerance_match(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    features = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("feature"), F.col("value").alias("want"))
+    titles = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("match"), F.col("value").alias("have"))
+    found = discs.tolerance_match(features, titles, "user_id", "want", "have", "match", ["feature"], F.greatest(F.col("want") / 20, F.lit(0.5)))
+    return found.select("feature", "match")
+
+
+@_query("""WITH s AS (SELECT s_suppkey, s_nationkey, right(s_name, 1) AS d FROM supplier), a AS (SELECT s_nationkey, d, min(s_suppkey) AS k FROM s GROUP BY ALL), b AS (SELECT s_nationkey, min(s_suppkey) AS k FROM s GROUP BY ALL)
+SELECT c_custkey, coalesce(a.k, b.k) AS s_suppkey FROM customer LEFT JOIN a ON a.s_nationkey = c_nationkey AND a.d = right(c_name, 1) LEFT JOIN b ON b.s_nationkey = c_nationkey""")
+def first_match_two_tier(spark, sf_dir):
+    left = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.right("c_name", F.lit(1)).alias("digit"))
+    right = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.right("s_name", F.lit(1)).alias("digit"))
+    return identify.two_tier_match(left, right, ["nation", "digit"], ["nation"], "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey")
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS o_orderkey, max(l_partkey) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY 1), r AS (SELECT o_orderkey, o_custkey AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0)
+SELECT o.o_orderkey, CASE WHEN l.v IS NOT NULL THEN 'local' WHEN r.v IS NOT NULL THEN 'remote' ELSE 'miss' END AS status, coalesce(l.v, r.v) AS found FROM orders o LEFT JOIN l USING (o_orderkey) LEFT JOIN r USING (o_orderkey)""")
+def fallback_union(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    local = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_partkey").alias("found"))
+    remote = orders.join(_t(spark, sf_dir, "customer").where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("o_custkey").alias("found"))
+    return identify.with_fallback(orders.select("o_orderkey"), local, remote, "o_orderkey", "found")
+
+
+@_query("SELECT o_orderkey, CAST(6 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS episode FROM orders")
+def episode_numbering(spark, sf_dir):
+    return identify.number_episodes(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 7).select("o_orderkey", "episode")
+
+
+_ROLE_SQL = "CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'MainMovie' WHEN 'SMALL' THEN 'Trailer' WHEN 'MEDIUM' THEN 'Featurette' WHEN 'LARGE' THEN 'DeletedScenes' ELSE p_type END"
+
+
+def _role(c: Column) -> Column:
+    first = F.split(c, " ")[0]
+    return F.when(first == "STANDARD", "MainMovie").when(first == "SMALL", "Trailer").when(first == "MEDIUM", "Featurette").when(first == "LARGE", "DeletedScenes").otherwise(c)
+
+
+@_query(f"""WITH r AS (SELECT p_partkey, {_ROLE_SQL} AS n FROM part), k AS (SELECT p_partkey, CASE n WHEN 'MainMovie' THEN 'Main' WHEN 'Trailer' THEN 'Trailer' WHEN 'Featurette' THEN 'Featurette' WHEN 'DeletedScenes' THEN 'DeletedScene' ELSE 'Other' END AS role FROM r)
+SELECT p_partkey, role, CASE role WHEN 'Trailer' THEN 'trailers' WHEN 'Featurette' THEN 'featurettes' WHEN 'DeletedScene' THEN 'deleted scenes' ELSE 'extras' END AS folder FROM k""")
+def role_map(spark, sf_dir):
+    role = identify.parse_role(_role(F.col("p_type")))
+    return _t(spark, sf_dir, "part").select("p_partkey", role.alias("role"), identify.extras_folder(role).alias("folder"))
+
+
+@_query("""WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT doc_id, coalesce(CASE WHEN q = 1 THEN nullif(trim(source), '') END, nullif(lang, ''), 'Title ' || doc_id) AS display FROM documents LEFT JOIN l USING (doc_id)""")
+def precedence_resolution(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labels, "doc_id", "left")
+    return rows.select("doc_id", identify.display_title(F.when(F.col("q") == 1, F.col("source")).otherwise(F.lit(" ")), F.col("lang"), F.lit(None).cast("string"), F.col("doc_id")).alias("display"))
+
+
+def _path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return rows.select(
+        "o_orderkey", F.concat("c_mktsegment", F.lit(": Part "), F.col("o_custkey").cast("string"), F.lit(".")).alias("title"), F.when(F.col("o_orderkey") % 3 > 0, F.year("o_orderdate")).alias("year"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("tt"), F.col("o_custkey").cast("string"))).alias("imdb"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")).alias("tmdb"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("3D")).alias("variant"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey")).alias("tvdb"), (F.col("o_orderkey") % 30 + 1).cast("int").alias("season"), (F.col("o_orderkey") % 24 + 1).cast("int").alias("episode"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).alias("name"),
+    )
+
+
+_PATH_SQL = """WITH r AS (SELECT o_orderkey, c_mktsegment || ' Part ' || o_custkey AS t, CASE WHEN o_orderkey % 3 > 0 THEN ' (' || year(o_orderdate) || ')' ELSE '' END AS y, CASE WHEN o_orderkey % 2 = 0 THEN 'tt' || o_custkey END AS imdb,
+CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS tmdb, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey END AS tvdb, CASE WHEN o_orderkey % 7 = 0 THEN ' - 3D' ELSE '' END AS v, o_orderkey % 30 + 1 AS s, o_orderkey % 24 + 1 AS e,
+CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS n FROM orders JOIN customer ON c_custkey = o_custkey), f AS (SELECT *, {tag} AS tag FROM r) SELECT o_orderkey, {path} AS path FROM f"""
+_MOVIE_TAGS = {
+    "jellyfin": "coalesce(' [imdbid-' || imdb || ']', ' [tmdbid-' || tmdb || ']', '')", "plex": "coalesce(' {{imdb-' || imdb || '}}', ' {{tmdb-' || tmdb || '}}', '')", "kodi": "coalesce(' {{tmdb=' || tmdb || '}}', ' {{imdb=' || imdb || '}}', '')",
+}
+_EPISODE_TAGS = {
+    "jellyfin": "coalesce(' [imdbid-' || imdb || ']', ' [tmdbid-' || tmdb || ']', ' [tvdbid-' || tvdb || ']', '')", "plex": "coalesce(' {{tvdb-' || tvdb || '}}', ' {{imdb-' || imdb || '}}', ' {{tmdb-' || tmdb || '}}', '')", "kodi": "''",
+}
+_SEASON = "'/Season ' || lpad(s::VARCHAR, 2, '0') || '/'"
+_EPISODE_FILES = {
+    "jellyfin": "t || y || ' S' || lpad(s::VARCHAR, 2, '0') || 'E' || lpad(e::VARCHAR, 2, '0') || coalesce(' - ' || n, '')", "plex": "t || y || ' - s' || lpad(s::VARCHAR, 2, '0') || 'e' || lpad(e::VARCHAR, 2, '0') || coalesce(' - ' || n, '')",
+    "kodi": "t || ' S' || lpad(s::VARCHAR, 2, '0') || 'E' || lpad(e::VARCHAR, 2, '0') || coalesce(' ' || n, '')",
+}
+
+
+def _register_paths() -> None:
+    for scheme in ("jellyfin", "plex", "kodi"):
+
+        def movies(spark, sf_dir, scheme=scheme):
+            c = F.col
+            return _path_rows(spark, sf_dir).select("o_orderkey", naming.movie_path(scheme, F.lit("/lib/Movies"), c("title"), c("year"), c("imdb"), c("tmdb"), c("variant")).alias("path"))
+
+        def episodes(spark, sf_dir, scheme=scheme):
+            c = F.col
+            return _path_rows(spark, sf_dir).select("o_orderkey", naming.episode_path(scheme, F.lit("/lib/Shows"), c("title"), c("year"), c("season"), c("episode"), c("name"), c("imdb"), c("tmdb"), c("tvdb")).alias("path"))
+
+        QUERIES[f"path_{scheme}"], QUERIES[f"episode_path_{scheme}"] = movies, episodes
+        ORACLES[f"path_{scheme}"] = _PATH_SQL.replace("{tag}", _MOVIE_TAGS[scheme]).replace("{path}", "'/lib/Movies/' || t || y || tag || '/' || t || y || tag || v || '.mkv'").replace("{{", "{").replace("}}", "}")
+        folder = "t" if scheme == "kodi" else "t"
+        ORACLES[f"episode_path_{scheme}"] = _PATH_SQL.replace("{tag}", _EPISODE_TAGS[scheme]).replace("{path}", f"'/lib/Shows/' || {folder} || y || tag || {_SEASON} || {_EPISODE_FILES[scheme]} || '.mkv'").replace("{{", "{").replace("}}", "}")
+
+
+_register_paths()
+
+
+@_query("SELECT p_partkey, p_name AS sorted FROM part")
+def sort_title(spark, sf_dir):
+    article = F.element_at(F.array(F.lit("The "), F.lit("a "), F.lit("AN "), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.sort_title(F.concat(F.lit(" "), article, "p_name")).alias("sorted"))
+
+
+@_query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS series, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS season FROM part""")
+def series_label(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    mark = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("_S"), size, F.lit("D1"))).when(F.col("p_partkey") % 3 == 2, F.concat(F.lit(" season"), size)).otherwise("")
+    label = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))), mark)
+    return _t(spark, sf_dir, "part").select("p_partkey", text.series_title(label).alias("series"), text.series_season(label).alias("season"))
+
+
+@_query("SELECT p_partkey, p_partkey % 2 = 0 AS is_3d FROM part")
+def has_3d_token(spark, sf_dir):
+    label = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(".3D[x]")).otherwise(F.lit(".3Dx")))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.has_3d_token(label).alias("is_3d"))
+
+
+@_query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS label FROM part""")
+def title_case_label(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.title_case(F.concat(F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_-")))).alias("label"))
+
+
+@_query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year FROM orders")
+def year_from_date(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.year_of_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year"))
+
+
+@_query("""WITH m AS (SELECT p_partkey, (p_size * 5) % 256 AS m FROM part) SELECT p_partkey, CASE WHEN m = 0 THEN '0' WHEN m = 255 THEN NULL ELSE CAST((SELECT min(i) + 1 FROM range(8) r(i) WHERE (m >> CAST(i AS INT)) & 1 = 0) AS VARCHAR) END AS region FROM m""")
+def region_code(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", media.dvd_region((F.col("p_size") * 5) % 256).alias("region"))
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@_query("""WITH l AS (SELECT o_custkey, o_orderkey, sum(greatest(l_partkey - l_suppkey, 0)) AS total, bool_and(coalesce(s_acctbal > -800, false)) AS whole FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+SELECT o_custkey, o_orderkey, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY total DESC, o_orderkey) AS r FROM l WHERE whole) WHERE r = 1""")
+def playlist_feature(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    items = _t(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    return discs.feature_playlists(items, "o_custkey", "o_orderkey", media.ticks(F.col("l_suppkey"), F.col("l_partkey")), F.col("s_acctbal") > -800)
+
+
+@_query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'UltraHdBluRay' WHEN bool_or(l_returnflag = 'A') THEN 'BluRay3D' WHEN bool_or(l_linestatus = 'F') AND NOT bool_or(l_linestatus = 'O') THEN 'Dvd'
+WHEN contains(lower(max(l_linestatus)), 'dvd') THEN 'Dvd' WHEN bool_or(l_quantity > 45) THEN 'BluRay3D' WHEN bool_or(l_quantity > 30) THEN 'UltraHdBluRay' ELSE 'BluRay' END AS disc_type FROM lineitem GROUP BY l_orderkey""")
+def disc_type(spark, sf_dir):
+    any_of = lambda c: F.bool_or(c)
+    c = F.col
+    plain = scan.disc_type(F.max("l_linestatus"), any_of(c("l_quantity") > 45), any_of(c("l_quantity") > 30))
+    kind = scan.disc_type_with_markers(any_of(c("l_returnflag") == "R"), any_of(c("l_returnflag") == "A"), any_of(c("l_linestatus") == "F"), any_of(c("l_linestatus") == "O"), plain)
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(kind.alias("disc_type"))
+
+
+@_query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed, CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'F') = 0 THEN 'All ' || count(*) || ' done'
+ELSE count(*) FILTER (WHERE o_orderstatus = 'F') || ' done, ' || count(*) FILTER (WHERE o_orderstatus <> 'F') || ' failed' END AS summary FROM orders GROUP BY o_custkey""")
+def success_summary(spark, sf_dir):
+    done, failed = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus") != "F")
+    said = F.when(failed == 0, F.concat(F.lit("All "), done.cast("string"), F.lit(" done"))).otherwise(F.concat(done.cast("string"), F.lit(" done, "), failed.cast("string"), F.lit(" failed")))
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(done.alias("done"), failed.alias("failed"), said.alias("summary"))
+
+
+@_query("""SELECT p_partkey, greatest(12, least(32, p_size - 8)) AS quality, CASE WHEN p_size % 5 IN (0) THEN p_size * 2 ELSE p_size END AS width, CASE WHEN p_size % 5 = 2 THEN 2 * 1080 ELSE 1080 END AS height FROM part""")
+def quality_table(spark, sf_dir):
+    fmt = F.element_at(F.array(*(F.lit(f[0]) for f in media.FORMATS)), (F.col("p_size") % 5 + 1).cast("int"))
+    out = media.output_size(fmt, F.col("p_size"), F.lit(1080))
+    return _t(spark, sf_dir, "part").select("p_partkey", media.clamp_quality(F.col("p_size") - 8).alias("quality"), out["width"].alias("width"), out["height"].alias("height"))
+
+
+@_query(None)
+def render_json(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem")
+    title = F.struct(F.col("l_linenumber").alias("Index"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Item"), F.col("l_quantity").cast("bigint").alias("Size"))
+    return sinks.disc_json(lines, ["l_orderkey"], {"Index": F.col("l_orderkey"), "Format": F.lit("bluray")}, title, F.struct("l_linenumber", "l_partkey"))
+
+
+@_query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate, o_orderkey) AS INT) AS display_rank FROM orders")
+def stable_display_sort(spark, sf_dir):
+    return identify.display_rank(_t(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderpriority") == "1-URGENT", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "display_rank")
