@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, stored
 
 FEATURES = (
     "log_words", "log_word_length", "word_length_spread", "unique_words", "short_words", "upper", "digits", "stops", "pipes", "loud", "symbols", "lines", "unique_lines", "non_ascii",
@@ -62,8 +62,19 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(dens[0] - dens[1], -60, 60)))
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, to_class: float = 0.1, to_diagonal: float = 0.02) -> Discriminant | None:
-    """Fit on every row with label 0 or 1 (others and nulls are left out); None unless both classes are there.
+def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and x array<double>: the statistics of every whole text, written in the shared folder; texts are read once."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [statistics(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
+
+    return stored(map_batches(docs.select(id_col, text_col), run, f"id {kind}, x array<double>").withColumnRenamed("id", id_col), "statistics")
+
+
+def fit(labelled: DataFrame, label_col: str, to_class: float = 0.1, to_diagonal: float = 0.02) -> Discriminant | None:
+    """Fit on every row (x array<double>) with label 0 or 1; others and nulls are left out. None unless both classes are there.
 
     Tasks send counts, sums and sums of products of the statistics, which Spark adds up; the driver gets these only.
     Each class's covariance is shrunk towards the pooled one by `to_class` and towards its diagonal by `to_diagonal`.
@@ -75,12 +86,12 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, to_class: float = 0.
         for batch in batches:
             y = np.array(batch.column(1).to_pylist(), np.int64)
             if len(y):
-                x = np.array([np.append(1.0, statistics(t)) for t in batch.column(0).to_pylist()])
+                x = np.hstack([np.ones((len(y), 1)), np.array(batch.column(0).to_pylist())])
                 for k in (0, 1):
                     sums[k] += x[y == k].T @ x[y == k]
         yield pa.RecordBatch.from_pydict({"k": np.arange(sums.size), "v": sums.ravel()})
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    rows = labelled.select("x", F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     total = np.zeros(2 * (d + 1) ** 2)
     for r in rows.mapInArrow(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r["k"]] = r["v"]
@@ -99,17 +110,17 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, to_class: float = 0.
     return Discriminant(means, np.array(factors), np.log(n / n.sum()))
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, model: Discriminant | None) -> DataFrame:
-    """Score every whole text: id column and score double (0 to 1, higher: class 1 likelier).
+def score(statistics_rows: DataFrame, id_col: str, model: Discriminant | None) -> DataFrame:
+    """Score described() rows: id column and score double (0 to 1, higher: class 1 likelier).
 
     A null text counts as empty and is scored too. Without a model every score is 0.5. Repeated rows give repeated
-    results; an empty table gives none; other columns are not read.
+    results; an empty table gives none; other columns of the documents are not read.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    kind = statistics_rows.select(id_col).schema[0].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        scores = np.full(len(texts), 0.5) if model is None else model.scores(np.array([statistics(t) for t in texts]))
+        x = np.array(batch.column(1).to_pylist())
+        scores = np.full(len(x), 0.5) if model is None else model.scores(x)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
-    return map_batches(docs.select(id_col, text_col), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_batches(statistics_rows.select(id_col, "x"), run, f"id {kind}, score double").withColumnRenamed("id", id_col)

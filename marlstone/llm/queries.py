@@ -37,8 +37,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     known = labels.where("quality is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(known, "doc_id"), "text", "quality")
-    scored = quality.score(docs, "doc_id", "text", model)
+    seen = quality.described(docs, "doc_id", "text")
+    scored = quality.score(seen, "doc_id", quality.fit(seen.join(known, "doc_id"), "quality"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
