@@ -15,7 +15,7 @@ from .common import map_batches, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+CACHE = 200_000
 _PIECES: dict[str, list[str]] = {}
 _SCORES: dict[int, tuple] = {}
 
@@ -32,40 +32,21 @@ def vocabulary(path: str, longest: int = 12) -> list[str]:
 
 
 def piece_table(pieces: list[str], probs: np.ndarray) -> dict[str, tuple[float, ...] | bool]:
-    """Probabilities of each piece by language; False for what only begins a piece."""
+    """Probabilities of each piece by language; False for what only ends a piece."""
     table: dict[str, tuple[float, ...] | bool] = {}
     for piece in pieces:
         for k in range(1, len(piece)):
-            table.setdefault(piece[:k], False)
+            table.setdefault(piece[k:], False)
     table.update(zip(pieces, map(tuple, probs.tolist())))
     return table
 
 
-def forward_short(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, floor: float) -> list[float]:
-    """forward() for words whose probabilities cannot underflow: from each place, pieces are followed as far as any goes."""
-    size = len(word)
-    alphas: list[list[float]] = [[1.0] * n] + [[0.0] * n for _ in range(size)]
-    get = probs.get
-    for i in range(size):
-        a = alphas[i]
-        alphas[i + 1] = [x + y * floor for x, y in zip(alphas[i + 1], a)]
-        for j in range(i + 1, size + 1):
-            p = get(word[i:j])
-            if p:
-                alphas[j] = [x + y * z for x, y, z in zip(alphas[j], a, p)]
-            elif p is None:
-                break
-    return [math.log(x) for x in alphas[size]]
-
-
 def forward(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, longest: int, floor: float) -> list[float]:
     """Log-probability of the word under each of n models, summed over all its segmentations into pieces.
 
     alpha[j] sums, over every piece that ends at j, its probability times alpha at its start. Alphas are scaled at each
     step, so words of any length work; a character that is no piece costs `floor` under every model.
     """
-    if len(word) <= 30:
-        return forward_short(word, probs, n, floor)
     alphas, logs = [[1.0] * n], [0.0] * n
     for j in range(1, len(word) + 1):
         acc = [a * floor for a in alphas[-1]]
@@ -75,6 +56,8 @@ def forward(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, longe
                 a = alphas[-back]
                 for k in range(n):
                     acc[k] += a[k] * p[k]
+            elif p is None:  # no longer piece ends here
+                break
         alphas.append(acc)
         if len(alphas) > longest:
             del alphas[0]
