@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,13 +43,13 @@ def format_duration(c: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).when(c.isNotNull(), F.format_string("%d:%02d", m, s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_size(sizes: pd.Series) -> pd.Series:
     """decimal GB with one digit, else whole MB. Ties are rounded by the exact binary value, which Catalyst's formats don't do."""
     return sizes.map(lambda b: None if pd.isna(b) else f"{b / 1e9:.1f} GB" if b >= 1e9 else f"{b / 1e6:.0f} MB")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_size_bytes(sizes: pd.Series) -> pd.Series:
     """like format_size, with bytes below 1 MB."""
     return sizes.map(lambda b: None if pd.isna(b) else f"{b / 1e9:.1f} GB" if b >= 1e9 else f"{b / 1e6:.0f} MB" if b >= 1e6 else f"{int(b)} B")
@@ -112,7 +113,7 @@ def cover_url(c: Column, host: str) -> Column:
     return F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit(host.rstrip("/") + "/"), F.regexp_replace(t, "^/+", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decode(texts: pd.Series) -> pd.Series:
     """each valid %XX becomes the character of that number; others stay."""
     import re
@@ -120,7 +121,7 @@ def percent_decode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def octal_unescape(texts: pd.Series) -> pd.Series:
     r"""F16: \NNN in mount tables."""
     import re
