@@ -231,9 +231,9 @@ def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: in
         kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], ["gram", "key", "at", "n", "hot", "left", "right"])
 
-    # Rows of the same key are repeated rows with one text; one of them is enough.
+    # Repeated rows give a context twice; it has n > 1 then, and is marked as a whole already.
     joined = texts.join(by_text, "key").select("key", "text", "asks")
-    contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, hot boolean, left binary, right binary").dropDuplicates(["gram", "key", "at"]), "contexts")
+    contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, hot boolean, left binary, right binary"), "contexts")
     marks = whole.union(_group_spans(contexts.where("not hot"), window, gram))
     if not asked.where("hot").isEmpty():
         marks = marks.union(_window_spans(contexts.where("hot"), window, gram))
