@@ -15,7 +15,7 @@ from .common import map_batches, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a Python worker remembers; beyond it, it starts anew.
-CACHE = 200_000
+CACHE = 300_000
 _PIECES: dict[str, list[str]] = {}
 _SCORES: dict[int, tuple] = {}
 
@@ -48,10 +48,11 @@ def forward(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, longe
     step, so words of any length work; a character that is no piece costs `floor` under every model.
     """
     alphas, logs = [[1.0] * n], [0.0] * n
+    get = probs.get
     for j in range(1, len(word) + 1):
         acc = [a * floor for a in alphas[-1]]
         for back in range(1, min(longest, j) + 1):
-            p = probs.get(word[j - back : j])
+            p = get(word[j - back : j])
             if p:
                 a = alphas[-back]
                 for k in range(n):
