@@ -36,7 +36,7 @@ def dvd_region(mask: Column) -> Column:
 
 
 #: Fixed values of the conversion tables: format, slug, width factor, height factor.
-FORMATS = [("full_sbs", "fsbs", 2, 1), ("half_sbs", "hsbs", 1, 1), ("full_ou", "fou", 1, 2), ("half_ou", "hou", 1, 1), ("mv_hevc", "mvhevc", 1, 1)]
+FORMATS = [("full_sbs", "fsbs", 2, 1), ("half_sbs", "hsbs", 1, 1), ("full_tab", "ftab", 1, 2), ("half_tab", "htab", 1, 1), ("frame_sequential", "fs", 1, 1)]
 
 
 def output_size(fmt: Column, width: Column, height: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import sanitise
+from .text import has_3d_token, sanitise
 
 
 def _tag(pairs: list[tuple[str, Column]], opening: str, closing: str) -> Column:
@@ -21,16 +21,20 @@ def _suffix(variant: Column) -> Column:
     return F.coalesce(F.concat(F.lit(" - "), variant), F.lit(""))
 
 
-def movie_path(scheme: str, root: Column, title: Column, year: Column, imdb: Column, tmdb: Column, variant: Column) -> Column:
-    """N1, N4, N7."""
-    base = _dated(title, year)
+def movie_folder(scheme: str, title: Column, year: Column, imdb: Column, tmdb: Column) -> Column:
+    """The folder of a movie: its dated title with an id."""
     if scheme in ("jellyfin", "emby"):
         tag = _tag([("imdbid-", imdb), ("tmdbid-", tmdb)], "[", "]")
     elif scheme == "plex":
         tag = _tag([("imdb-", imdb), ("tmdb-", tmdb)], "{", "}")
     else:
         tag = _tag([("tmdb=", tmdb), ("imdb=", imdb)], "{", "}")
-    folder = F.concat(base, tag)
+    return F.concat(_dated(title, year), tag)
+
+
+def movie_path(scheme: str, root: Column, title: Column, year: Column, imdb: Column, tmdb: Column, variant: Column) -> Column:
+    """N1, N4, N7."""
+    folder = movie_folder(scheme, title, year, imdb, tmdb)
     return F.concat(root, F.lit("/"), folder, F.lit("/"), folder, _suffix(variant), F.lit(".mkv"))
 
 
@@ -51,14 +55,29 @@ def episode_path(scheme: str, root: Column, title: Column, year: Column, season:
     return F.concat(root, F.lit("/"), folder, F.format_string("/Season %02d/", season), file, F.lit(".mkv"))
 
 
-def extras_path(folder: Column, role_folder: Column, name: Column) -> Column:
-    """N3, N6, N9 for folders by role."""
-    return F.concat(folder, F.lit("/"), role_folder, F.lit("/"), sanitise(name), F.lit(".mkv"))
+def extras_path(scheme: str, root: Column, folder: Column, role: Column, role_folder: Column, name: Column) -> Column:
+    """An extra in its role's folder under its movie's; one scheme keeps trailers beside the movie."""
+    inside = F.when(role_folder == "", "").otherwise(F.concat(role_folder, F.lit("/")))
+    path = F.concat(root, F.lit("/"), folder, F.lit("/"))
+    named = F.concat(path, inside, sanitise(name), F.lit(".mkv"))
+    if scheme != "kodi":
+        return named
+    return F.when(role == "Trailer", F.concat(path, folder, F.lit("-trailer.mkv"))).when(role == "Main", F.concat(path, folder, F.lit(".mkv"))).otherwise(named)
+
+
+#: Names of movie variants.
+VARIANTS = {"Uhd4k": "4K", "Stereo3d": "3D", "Extended": "Extended", "Theatrical": "Theatrical", "Directors": "Director's Cut"}
+
+
+def variant_name(kind: Column) -> Column:
+    """What movie_path takes as variant."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv)), kind)
 
 
 def converted_path(stem: Column, slug: Column) -> Column:
-    """N14."""
-    return F.concat(stem, F.lit(".3d."), slug, F.lit(".mkv"))
+    """Stem with slug, and with 3d unless the stem's name has that token."""
+    token = F.when(has_3d_token(F.regexp_extract(stem, "([^/]*)$", 1)), ".").otherwise(".3d.")
+    return F.concat(stem, token, slug, F.lit(".mkv"))
 
 
 def staging_path(kind: Column, title: Column, year: Column, release: Column, index: Column) -> Column:

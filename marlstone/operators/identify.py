@@ -10,11 +10,14 @@ from ..functions.text import nonempty
 
 #: Role names of the catalogue by role; anything else is Other.
 ROLES = {
-    "Main": ["Main", "MainMovie", "Movie"], "Trailer": ["Trailer"], "DeletedScene": ["DeletedScene", "DeletedScenes"], "BehindTheScenes": ["BehindTheScenes"], "Featurette": ["Featurette"], "Interview": ["Interview"], "Scene": ["Scene"], "Short": ["Short"],
+    "Main": ["MainMovie", "MainFeature", "Main", "Movie"], "Trailer": ["Trailer"], "BehindTheScenes": ["BehindTheScenes", "BehindThe Scenes"], "DeletedScene": ["DeletedScene", "DeletedScenes"], "Featurette": ["Featurette"], "Interview": ["Interview"],
+    "Scene": ["Scene"], "Short": ["Short"],
 }
-#: Folders of extras by role.
+#: Folders of extras by scheme and role; "" is the movie's own folder.
 EXTRAS = {
-    "Trailer": "trailers", "DeletedScene": "deleted scenes", "BehindTheScenes": "behind the scenes", "Featurette": "featurettes", "Interview": "interviews", "Scene": "scenes", "Short": "shorts", "Other": "extras", "Main": "extras",
+    "jellyfin": {"Trailer": "trailers", "BehindTheScenes": "behindthescenes", "DeletedScene": "deleted", "Featurette": "featurettes", "Interview": "interviews", "Scene": "scenes", "Short": "shorts", "Other": "extras", "Main": ""},
+    "plex": {"Trailer": "Trailers", "BehindTheScenes": "Behind The Scenes", "DeletedScene": "Deleted Scenes", "Featurette": "Featurettes", "Interview": "Interviews", "Scene": "Scenes", "Short": "Shorts", "Other": "Other", "Main": ""},
+    "kodi": {"Trailer": "", "Main": ""},
 }
 
 
@@ -31,9 +34,9 @@ def role_name(c: Column) -> Column:
     return F.when(c == "Main", "MainMovie").otherwise(c)
 
 
-def extras_folder(role: Column) -> Column:
-    """N10 for the scheme that names folders by role."""
-    pairs = [F.lit(x) for kv in EXTRAS.items() for x in kv]
+def extras_folder(role: Column, scheme: str = "jellyfin") -> Column:
+    """The folder of a role's extras; roles that a scheme does not name go to extras."""
+    pairs = [F.lit(x) for kv in EXTRAS["jellyfin" if scheme == "emby" else scheme].items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), role), F.lit("extras"))
 
 
@@ -107,3 +110,51 @@ def forward_fill(df: DataFrame, group: list[str], order: list, value: Column, na
 def display_rank(df: DataFrame, group: list[str], is_main: Column, order: list) -> DataFrame:
     """Main first, the rest in scan order."""
     return df.withColumn("display_rank", F.row_number().over(Window.partitionBy(*group).orderBy(is_main.desc(), *order)))
+
+
+def numbered_name(names: Column, index: Column) -> Column:
+    """A title's name in a map whose keys count from 1, else from 0."""
+    return F.coalesce(F.try_element_at(names, index + 1), F.try_element_at(names, index))
+
+
+def first_candidate(movies: Column, series: Column) -> Column:
+    """struct<kind, hit> of the first movie, else of the first series; null if there is none."""
+    movie, show = F.get(movies, F.lit(0)), F.get(series, F.lit(0))
+    return F.when(movie.isNotNull(), F.struct(F.lit("Movie").alias("kind"), movie.alias("hit"))).when(show.isNotNull(), F.struct(F.lit("Series").alias("kind"), show.alias("hit")))
+
+
+def zip_titles(rows: DataFrame, titles: DataFrame, group: list[str], row_order: list, title_order: list) -> DataFrame:
+    """The n-th title beside the n-th row of a group, whatever its own number; rows beyond the titles get nulls."""
+    at = lambda order: F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("_at", at(row_order)).join(titles.withColumn("_at", at(title_order)), [*group, "_at"], "left").drop("_at")
+
+
+def lookup_status(content_hash: Column, local_hits: Column, remote_error: Column) -> Column:
+    """NotAttempted without a hash, Ok after a local hit or an answer, else Failed with the reason."""
+    failed = F.concat(F.lit("Failed: "), remote_error)
+    return F.when(content_hash.isNull(), "NotAttempted").when((F.coalesce(local_hits, F.lit(0)) > 0) | remote_error.isNull(), "Ok").otherwise(failed)
+
+
+def resolve_output(expected: DataFrame, files: DataFrame, folder: str, want: str, path: str, mtime: str) -> DataFrame:
+    """A10: the expected file of each folder, else its newest .mkv (of equally new ones the smallest path), else null.
+
+    One partial aggregation per folder over the joined listing; no folder's files are collected.
+    """
+    seen = expected.select(folder, want).join(files.select(folder, path, mtime), folder, "left")
+    newest = F.max_by(F.when(F.col(path).endswith(".mkv"), F.col(path)), F.when(F.col(path).endswith(".mkv"), F.col("_rank")))
+    ranked = seen.withColumn("_rank", F.struct(F.col(mtime), F.row_number().over(Window.partitionBy(folder, want).orderBy(F.col(path).desc()))))
+    return ranked.groupBy(folder, want).agg(F.when(F.bool_or(F.col(path) == F.col(want)), F.col(want)).otherwise(newest).alias("output"))
+
+
+def byte_progress(chunks: DataFrame, job: list[str], order: list, size: str, total: Column, seconds: Column, step: int = 32 << 20) -> DataFrame:
+    """A row whenever a job's bytes pass a multiple of step, with current_seconds: runtime scaled by bytes done."""
+    done = F.sum(size).over(Window.partitionBy(*job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = chunks.withColumn("done", done).where((total > 0) & (F.floor(F.col("done") / step) > F.floor((F.col("done") - F.col(size)) / step)))
+    return rows.withColumn("current_seconds", seconds * (F.col("done").cast("double") / total))
+
+
+def relation_caption(kind: Column, constituents: Column, containers: Column) -> Column:
+    """What a title's row says of its relation; null for atomic titles."""
+    whole = F.concat(F.lit("contains "), F.size(constituents).cast("string"), F.lit(" other title(s)"))
+    part = F.concat(F.lit("part of "), F.array_join(F.transform(containers, lambda i: F.concat(F.lit("#"), i.cast("string"))), ", "))
+    return F.when(kind == "composite", whole).when(kind == "constituent", part)

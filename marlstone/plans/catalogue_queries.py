@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import media, naming, text
+from ..functions import conversion, media, naming, text
 from ..operators import discs, identify, scan, sinks
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,7 +156,7 @@ def _role(c: Column) -> Column:
 
 
 @_query(f"""WITH r AS (SELECT p_partkey, {_ROLE_SQL} AS n FROM part), k AS (SELECT p_partkey, CASE n WHEN 'MainMovie' THEN 'Main' WHEN 'Trailer' THEN 'Trailer' WHEN 'Featurette' THEN 'Featurette' WHEN 'DeletedScenes' THEN 'DeletedScene' ELSE 'Other' END AS role FROM r)
-SELECT p_partkey, role, CASE role WHEN 'Trailer' THEN 'trailers' WHEN 'Featurette' THEN 'featurettes' WHEN 'DeletedScene' THEN 'deleted scenes' ELSE 'extras' END AS folder FROM k""")
+SELECT p_partkey, role, CASE role WHEN 'Trailer' THEN 'trailers' WHEN 'Featurette' THEN 'featurettes' WHEN 'DeletedScene' THEN 'deleted' WHEN 'Main' THEN '' ELSE 'extras' END AS folder FROM k""")
 def role_map(spark, sf_dir):
     role = identify.parse_role(_role(F.col("p_type")))
     return _t(spark, sf_dir, "part").select("p_partkey", role.alias("role"), identify.extras_folder(role).alias("folder"))
@@ -279,11 +280,158 @@ def success_summary(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(done.alias("done"), failed.alias("failed"), said.alias("summary"))
 
 
-@_query("""SELECT p_partkey, greatest(12, least(32, p_size - 8)) AS quality, CASE WHEN p_size % 5 IN (0) THEN p_size * 2 ELSE p_size END AS width, CASE WHEN p_size % 5 = 2 THEN 2 * 1080 ELSE 1080 END AS height FROM part""")
+_BACKENDS, _PRESETS = ("software", "nvenc", "qsv", "vaapi", "amf", "v4l2m2m"), ("higher", "balanced", "smaller")
+_PARTS = """WITH p AS (SELECT p_partkey, p_size, ['software','nvenc','qsv','vaapi','amf','v4l2m2m'][p_partkey % 6 + 1] AS b, CASE WHEN p_partkey % 4 < 2 THEN 'h264' ELSE 'h265' END AS c, ['higher','balanced','smaller'][p_size % 3 + 1] AS pr,
+['full_sbs','half_sbs','full_tab','half_tab','frame_sequential'][p_size % 5 + 1] AS f FROM part)"""
+
+
+def _nth(names: tuple, index: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(n) for n in names)), (index + 1).cast("int"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    codec = F.when(key % 4 < 2, "h264").otherwise("h265")
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_size", _nth(_BACKENDS, key % 6).alias("backend"), codec.alias("codec"), _nth(_PRESETS, size % 3).alias("preset"), _nth(tuple(f[0] for f in media.FORMATS), size % 5).alias("format"))
+
+
+@_query(_PARTS + """ SELECT p_partkey, greatest(12, least(32, CASE WHEN b IN ('software', 'nvenc') AND c = 'h265' THEN 21 WHEN b = 'nvenc' THEN 19 WHEN b IN ('vaapi', 'amf') THEN CASE c WHEN 'h264' THEN 20 ELSE 22 END ELSE 18 END
++ CASE pr WHEN 'higher' THEN -3 WHEN 'smaller' THEN 4 ELSE 0 END)) AS quality, CASE WHEN f = 'full_sbs' THEN p_size * 2 ELSE p_size END AS width, CASE WHEN f = 'full_tab' THEN 2160 ELSE 1080 END AS height FROM p""")
 def quality_table(spark, sf_dir):
-    fmt = F.element_at(F.array(*(F.lit(f[0]) for f in media.FORMATS)), (F.col("p_size") % 5 + 1).cast("int"))
-    out = media.output_size(fmt, F.col("p_size"), F.lit(1080))
-    return _t(spark, sf_dir, "part").select("p_partkey", media.clamp_quality(F.col("p_size") - 8).alias("quality"), out["width"].alias("width"), out["height"].alias("height"))
+    out = media.output_size(F.col("format"), F.col("p_size"), F.lit(1080))
+    return _parts(spark, sf_dir).select("p_partkey", conversion.quality(F.col("preset"), F.col("backend"), F.col("codec")).alias("quality"), out["width"].alias("width"), out["height"].alias("height"))
+
+
+@_query(_PARTS + """ SELECT p_partkey, CASE WHEN b = 'software' THEN CASE c WHEN 'h264' THEN 'libx264' ELSE 'libx265' END ELSE CASE c WHEN 'h264' THEN 'h264_' ELSE 'hevc_' END || b END AS encoder,
+'-c:v ' || encoder || CASE b WHEN 'vaapi' THEN ' -qp ' || p_size WHEN 'nvenc' THEN ' -preset p5 -rc vbr -cq ' || p_size WHEN 'qsv' THEN ' -preset medium -global_quality ' || p_size
+WHEN 'amf' THEN ' -quality balanced -rc cqp -qp_i ' || p_size || ' -qp_p ' || p_size || ' -qp_b ' || p_size WHEN 'v4l2m2m' THEN ' -b:v ' || greatest(0, 24 - greatest(p_size - 18, 0) * 3 // 2) || 'M'
+ELSE ' -preset medium -crf ' || p_size || CASE c WHEN 'h265' THEN ' -x265-params open-gop=0:repeat-headers=1:info=0' ELSE '' END END || ' -g 48' AS args FROM p""")
+def encoder_args(spark, sf_dir):
+    backend, codec = F.col("backend"), F.col("codec")
+    args = conversion.encoder_args(backend, codec, F.col("p_size"), F.lit(None).cast("string"))["args"]
+    return _parts(spark, sf_dir).select("p_partkey", conversion.encoder(backend, codec).alias("encoder"), F.array_join(args, " ").alias("args"))
+
+
+@_query(_PARTS + """, d AS (SELECT *, p_size % 2 = 0 AS nv, p_size % 3 = 0 AS va, p_size % 5 = 0 AS q FROM p), a AS (SELECT *, CASE WHEN nv THEN 'nvenc' WHEN q THEN 'qsv' WHEN va THEN 'vaapi' ELSE 'software' END AS best FROM d)
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN best WHEN b = 'nvenc' AND nv OR b = 'qsv' AND q OR b = 'vaapi' AND va THEN b ELSE 'software' END AS backend FROM a""")
+def resolve_backend(spark, sf_dir):
+    size, codec = F.col("p_size"), F.col("codec")
+    listed = F.concat(F.array(conversion.encoder(F.lit("nvenc"), codec), conversion.encoder(F.lit("vaapi"), codec)), F.when(size % 5 == 0, F.array(conversion.encoder(F.lit("qsv"), codec))).otherwise(F.array().cast("array<string>")))
+    asked = F.when(F.col("p_partkey") % 7 == 0, "auto").otherwise(F.col("backend"))
+    found = conversion.resolve_backend(asked, codec, listed, F.when(size % 3 == 0, F.lit("card")), size % 2 == 0, F.lit(True))
+    return _parts(spark, sf_dir).select("p_partkey", found.alias("backend"))
+
+
+@_query(_PARTS + """ SELECT p_partkey, CASE f WHEN 'full_sbs' THEN 'left_right' WHEN 'half_sbs' THEN 'left_right' WHEN 'full_tab' THEN 'top_bottom' WHEN 'half_tab' THEN 'top_bottom' END AS stereo_mode, CASE f WHEN 'full_sbs' THEN '[0:v][1:v]hstack=inputs=2[v]'
+WHEN 'half_sbs' THEN '[0:v]scale=iw/2:ih[l];[1:v]scale=iw/2:ih[r];[l][r]hstack=inputs=2[v]' WHEN 'full_tab' THEN '[0:v][1:v]vstack=inputs=2[v]' WHEN 'half_tab' THEN '[0:v]scale=iw:ih/2[t];[1:v]scale=iw:ih/2[b];[t][b]vstack=inputs=2[v]'
+ELSE '[0:v][1:v]framepack=frameseq[v]' END AS views_filter FROM p""")
+def filter_graphs(spark, sf_dir):
+    found = conversion.layout(F.col("format"))
+    return _parts(spark, sf_dir).select("p_partkey", found["stereo_mode"].alias("stereo_mode"), found["views_filter"].alias("views_filter"))
+
+
+@_query("""SELECT p_partkey, replace(p_name, ' ', '.') || CASE WHEN p_partkey % 2 = 0 THEN ' - 3D.' ELSE '.3d.' END || 'fsbs.mkv' AS path FROM part""")
+def converted_path(spark, sf_dir):
+    stem = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(F.col("p_partkey") % 2 == 0, F.lit(" - 3D")).otherwise(""))
+    return _t(spark, sf_dir, "part").select("p_partkey", naming.converted_path(stem, F.lit("fsbs")).alias("path"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'b' WHEN p_size % 4 = 1 THEN 'c' WHEN p_size % 4 = 2 THEN 'c' END AS name FROM part""")
+def numbered_name(spark, sf_dir):
+    names = F.create_map(F.lit(1), F.lit("b"), F.lit(2), F.lit("c"))
+    return _t(spark, sf_dir, "part").select("p_partkey", identify.numbered_name(names, F.col("p_size") % 4).alias("name"))
+
+
+@_query("""WITH m AS (SELECT c_nationkey AS k, list(c_custkey ORDER BY c_custkey) FILTER (WHERE c_acctbal > 9500) AS a FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, list(s_suppkey ORDER BY s_suppkey) AS b FROM supplier GROUP BY 1)
+SELECT n_nationkey, CASE WHEN a[1] IS NOT NULL THEN 'Movie' WHEN b[1] IS NOT NULL THEN 'Series' END AS kind, CAST(coalesce(a[1], b[1]) AS BIGINT) AS hit FROM nation LEFT JOIN m ON m.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey""")
+def first_candidate(spark, sf_dir):
+    movies = _t(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array(F.min("c_custkey")).alias("movies"))
+    series = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array(F.min("s_suppkey")).alias("series"))
+    found = identify.first_candidate(F.col("movies"), F.col("series"))
+    return _t(spark, sf_dir, "nation").join(movies, "n_nationkey", "left").join(series, "n_nationkey", "left").select("n_nationkey", found["kind"].alias("kind"), found["hit"].cast("bigint").alias("hit"))
+
+
+@_query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), t AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
+SELECT c_custkey, s_name AS title FROM r LEFT JOIN t ON s_nationkey = c_nationkey AND t.n = r.n""")
+def zip_titles(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("season"))
+    titles = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("season"), "s_suppkey", F.col("s_name").alias("title"))
+    return identify.zip_titles(rows, titles, ["season"], ["c_custkey"], ["s_suppkey"]).select("c_custkey", "title")
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'NotAttempted' WHEN o_orderkey % 3 > 0 OR o_orderstatus = 'F' THEN 'Ok' ELSE 'Failed: ' || o_orderstatus END AS status FROM orders""")
+def lookup_status(spark, sf_dir):
+    key = F.col("o_orderkey")
+    status = identify.lookup_status(F.when(key % 5 > 0, F.lit("hash")), key % 3, F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@_query("""SELECT o_orderkey, coalesce(max(l_linenumber) FILTER (WHERE l_linenumber = 3), arg_max(l_linenumber, (l_shipdate, -l_linenumber, -l_partkey)))::VARCHAR || '.mkv' AS output FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def resolve_output(spark, sf_dir):
+    files = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.col("l_linenumber").cast("string"), F.lit(".mkv")).alias("path"), F.col("l_shipdate").alias("mtime"))
+    want = _t(spark, sf_dir, "orders").select("o_orderkey", F.lit("3.mkv").alias("want"))
+    return identify.resolve_output(want, files, "o_orderkey", "want", "path", "mtime").select("o_orderkey", "output")
+
+
+@_query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT AS q, sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS done FROM lineitem)
+SELECT l_orderkey, l_linenumber, done, 7200.0::DOUBLE * (done::DOUBLE / 400) AS current_seconds FROM d WHERE done // 32 > (done - q) // 32""")
+def byte_progress(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "lineitem").withColumn("bytes", F.col("l_quantity").cast("bigint"))
+    found = identify.byte_progress(chunks, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "bytes", F.lit(400), F.lit(7200.0), 32)
+    return found.select("l_orderkey", "l_linenumber", "done", "current_seconds")
+
+
+@_query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'contains 2 other title(s)' WHEN 1 THEN 'part of #' || o_custkey || ', #7' END AS caption FROM orders""")
+def relation_caption(spark, sf_dir):
+    kind = _nth(("composite", "constituent", "atomic"), F.col("o_orderkey") % 3)
+    caption = identify.relation_caption(kind, F.array(F.lit(1), F.lit(2)), F.array(F.col("o_custkey"), F.lit(7)))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", caption.alias("caption"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, printf('  t%-2d dur=%6ds size=%11d chap=%-2d src=%-14s segmap=%-14s', l_linenumber::INT, l_quantity::BIGINT, l_partkey::BIGINT, 0, src, '?') AS line
+FROM (SELECT *, l_returnflag || '.m2ts' AS src FROM lineitem)""")
+def report_line(spark, sf_dir):
+    c = F.col
+    line = sinks.report_line(c("l_linenumber"), c("l_quantity"), c("l_partkey"), F.lit(None), F.concat("l_returnflag", F.lit(".m2ts")), F.lit(None).cast("string"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/run/media/My Disc ' || doc_id WHEN doc_id % 3 = 0 THEN '/run/' || source END AS mount, CASE WHEN doc_id % 2 = 0 THEN '/dev/loop' || doc_id END AS device FROM documents""")
+def mount_points(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    good = F.concat(F.lit("Found.\nMounted /dev/loop"), key, F.lit(" at /run/media/My Disc "), key, F.lit("."))
+    said = F.when(F.col("doc_id") % 2 == 0, good).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Error: already mounted at `/run/"), F.col("source"), F.lit("'."))).otherwise("no such device")
+    return _t(spark, sf_dir, "documents").select("doc_id", files.mount_point(said).alias("mount"), files.loop_device(said).alias("device"))
+
+
+@_query("""WITH p AS (SELECT *, p_name AS t, 1990 + p_size AS y FROM part) SELECT p_partkey, '{' || CASE WHEN p_partkey % 2 = 0 THEN '"ExternalIds":{"Tmdb":"' || p_partkey || '"},' ELSE '' END || '"FullTitle":"' || t || '","Groups":[],"Slug":"'
+|| regexp_replace(regexp_replace(lower(t), '[ -]', '-', 'g'), '[^a-z0-9-]', '', 'g') || '-' || y || '","SortTitle":"' || t || '","Title":"' || t || '","Type":"Movie","Year":' || y || '}' AS document FROM p""")
+def metadata_json(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    tmdb = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))
+    return _t(spark, sf_dir, "part").select("p_partkey", sinks.metadata_json(F.col("p_name"), F.col("p_size") + 1990, F.lit("Movie"), tmdb, none, none, none, none).alias("document"))
+
+
+def _register_extras() -> None:
+    folders = {"jellyfin": ("trailers", "deleted", "extras"), "plex": ("Trailers", "Deleted Scenes", "Other")}
+    for scheme in ("jellyfin", "plex", "kodi"):
+
+        def extras(spark, sf_dir, scheme=scheme):
+            c, role = F.col, _nth(("Trailer", "DeletedScene", "Other", "Main"), F.col("o_orderkey") % 4)
+            folder = naming.movie_folder(scheme, c("title"), c("year"), c("imdb"), c("tmdb"))
+            return _path_rows(spark, sf_dir).select("o_orderkey", naming.extras_path(scheme, F.lit("/lib/Movies"), folder, role, identify.extras_folder(role, scheme), F.concat(F.lit("a/b "), c("o_orderkey").cast("string"))).alias("path"))
+
+        QUERIES[f"extras_path_{scheme}"] = extras
+        own = "'a b ' || o_orderkey"
+        if scheme == "kodi":
+            end = f"CASE o_orderkey % 4 WHEN 0 THEN t || y || tag || '-trailer' WHEN 3 THEN t || y || tag ELSE 'extras/' || {own} END"
+        else:
+            a, b, c = folders[scheme]
+            end = f"['{a}/', '{b}/', '{c}/', ''][o_orderkey % 4 + 1] || {own}"
+        ORACLES[f"extras_path_{scheme}"] = _PATH_SQL.replace("{tag}", _MOVIE_TAGS[scheme]).replace("{path}", f"'/lib/Movies/' || t || y || tag || '/' || {end} || '.mkv'").replace("{{", "{").replace("}}", "}")
+
+
+_register_extras()
 
 
 @_query(None)

@@ -1,4 +1,4 @@
-"""Catalogue trees, file listings and side files (survey S4-S9, S12, S13, S15-S18, S22)."""
+"""Catalogue trees, file listings and side files (survey S4-S9, S12-S18, S20, S21)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import nonempty
+from ..functions.conversion import ENCODERS
+from ..functions.text import format_duration_full, format_size, nonempty, year_of_date
 
 CATALOGUE_DISC = """Index int, Slug string, Name string, Format string, ContentHash string, Titles array<struct<Index: int, Comment: string, SourceFile: string, SegmentMap: string, Duration: string, Size: bigint,
 Item: struct<Title: string, Type: string, Season: int, Episode: int, Chapters: array<struct<Index: int, Title: string>>>>>"""
@@ -17,7 +18,7 @@ RELEASE = "Slug string, ImageUrl string, Title string, Year int"
 METADATA = "Title string, Slug string, Type string, Year int, ImageUrl string, ExternalIds struct<Tmdb: string, Imdb: string, Tvdb: string>"
 LOOKUP = """data struct<mediaItems: struct<nodes: array<struct<id: bigint, title: string, year: int, slug: string, imageUrl: string, releases: array<struct<slug: string, imageUrl: string,
 discs: array<struct<index: int, name: string, contentHash: string, titles: array<struct<index: int, sourceFile: string, item: struct<title: string, season: int, episode: int, type: string>>>>>>>>>>, errors array<struct<message: string>>"""
-PROBE = "format struct<filename: string, duration: string, size: string>, streams array<struct<index: int, codec_type: string, codec_name: string, width: int, height: int>>, chapters array<struct<id: bigint, start_time: string, end_time: string>>"
+PROBE = "format struct<filename: string, duration: string, size: string>, streams array<struct<index: int, codec_type: string, codec_name: string, codec_long_name: string, width: int, height: int, channels: int, sample_rate: string, r_frame_rate: string, tags: map<string, string>>>, chapters array<struct<id: bigint, start_time: string, end_time: string>>"
 UPC = "code string, items array<struct<title: string, brand: string, upc: string, ean: string>>"
 
 
@@ -121,3 +122,103 @@ def optical_mounts(lines: DataFrame, value: str = "value") -> DataFrame:
     parts = F.split(value, r"\s+")
     rows = lines.select(F.regexp_extract(F.get(parts, F.lit(0)), r"^/dev/sr([0-9]+)$", 1).alias("drive"), octal_unescape(F.get(parts, F.lit(1))).alias("mount")).where("drive <> ''")
     return rows.withColumn("label", F.regexp_extract("mount", "([^/]*)$", 1))
+
+
+#: Answers of movie and series services.
+MOVIE = "id bigint, imdb_id string, title string, original_title string, release_date string, overview string, tagline string"
+SERIES = "id bigint, external_ids struct<imdb_id: string>, name string, original_name string, first_air_date string, overview string, tagline string"
+FIND = "movie_results array<struct<id: bigint>>, tv_results array<struct<id: bigint>>"
+_IMAGE = "array<struct<file_path: string, vote_average: double, width: int, height: int>>"
+IMAGES = f"posters {_IMAGE}, backdrops {_IMAGE}, logos {_IMAGE}"
+LIBRARIES = {
+    "movie": "title string, year int, tmdbId bigint, imdbId string, overview string, status string, path string, hasFile boolean, runtime int",
+    "series": "id bigint, title string, year int, tvdbId bigint, imdbId string, overview string, status string, path string",
+    "episode": "id bigint, seriesId bigint, seasonNumber int, episodeNumber int, title string, airDate string, overview string, hasFile boolean",
+}
+
+
+def _details(raw: DataFrame, imdb: str, title: Column, date: str, kind: str) -> DataFrame:
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return raw.select("path", F.col("id").alias("tmdb_id"), filled(F.col(imdb)).alias("imdb_id"), filled(title).alias("title"), year_of_date(F.col(date)).alias("year"), filled(F.col("overview")).alias("plot"), filled(F.col("tagline")).alias("tagline"), F.lit(kind).alias("content_type"))
+
+
+def read_movie_details(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers on movies; the title is chosen before it is tested for being empty."""
+    return _details(_json(spark, MOVIE, path, "*.json"), "imdb_id", F.coalesce("title", "original_title"), "release_date", "Movie")
+
+
+def read_series_details(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers on series."""
+    return _details(_json(spark, SERIES, path, "*.json"), "external_ids.imdb_id", F.coalesce("name", "original_name"), "first_air_date", "Series")
+
+
+def read_finds(spark: SparkSession, path: str) -> DataFrame:
+    """Kind and tmdb_id of the first movie, else of the first series; null where neither was found."""
+    from ..operators.identify import first_candidate
+
+    found = first_candidate(F.col("movie_results"), F.col("tv_results"))
+    return _json(spark, FIND, path, "*.json").select("path", found["kind"].alias("kind"), found["hit"]["id"].alias("tmdb_id"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Images by kind, the best voted first and ties in their order (ord from 0)."""
+    kinds = ("posters", "backdrops", "logos")
+    raw = _json(spark, IMAGES, path, "*.json").select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("images")) for k in kinds))).alias("x"))
+    rows = raw.select("path", "x.kind", F.posexplode("x.images").alias("_pos", "image"))
+    best = Window.partitionBy("path", "kind").orderBy(F.col("image.vote_average").desc_nulls_last(), "_pos")
+    return rows.select("path", "kind", (F.row_number().over(best) - 1).alias("ord"), "image.*")
+
+
+def read_library(spark: SparkSession, path: str, kind: str, season: int | None = None) -> DataFrame:
+    """Rows of landed lists of movies, series or episodes (of one season, if given)."""
+    rows = _json(spark, LIBRARIES[kind], path, "*.json")
+    return rows if season is None else rows.where(F.col("seasonNumber") == season)
+
+
+def synthetic_scan(probes: DataFrame, path: str, mvc: Column) -> DataFrame:
+    """read_probes' rows as scans of one title, with a stream that stands for the second view if mvc."""
+    file = F.regexp_extract(path, "([^/]*)$", 1)
+    name = F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")
+    kind = lambda t: F.when(t == "video", "Video").when(t == "audio", "Audio").when(t == "subtitle", "Subtitles").otherwise(t)
+
+    def stream(s: Column) -> Column:
+        size = F.concat(s["width"].cast("string"), F.lit("x"), s["height"].cast("string"))
+        tag = lambda k: F.try_element_at(s["tags"], F.lit(k))
+        rate = F.when(s["sample_rate"].rlike("^[+]?[0-9]{1,9}$"), s["sample_rate"].cast("int"))
+        return F.struct(
+            s["index"].alias("stream"), kind(s["codec_type"]).alias("kind"), tag("title").alias("name"), tag("language").alias("language_code"), s["codec_name"].alias("codec_short"), s["codec_long_name"].alias("codec_long"),
+            s["channels"].alias("channels"), rate.alias("sample_rate"), size.alias("video_size"), s["r_frame_rate"].alias("frame_rate"),
+        )
+
+    no = lambda t: F.lit(None).cast(t)
+    streams = F.transform(F.coalesce("streams", F.array()), stream)
+    second = F.struct(
+        F.size(streams).alias("stream"), F.lit("Video").alias("kind"), no("string").alias("name"), no("string").alias("language_code"), F.lit("Mpeg4-MVC-3D").alias("codec_short"), F.lit("Mpeg4 MVC").alias("codec_long"),
+        no("int").alias("channels"), no("int").alias("sample_rate"), no("string").alias("video_size"), no("string").alias("frame_rate"),
+    )
+    return probes.select(
+        F.lit("MKV file").alias("content_type"), name.alias("name"), F.lit(0).alias("title_index"), F.coalesce(F.size("chapters"), F.lit(0)).alias("chapter_count"), "duration_seconds", format_duration_full(F.col("duration_seconds")).alias("duration_text"),
+        format_size(F.col("size_bytes")).alias("display_size"), "size_bytes", file.alias("source_file"), F.lit(1).alias("segment_count"), F.lit("1").alias("segment_map"), F.concat(name, F.lit(".mkv")).alias("output_file"),
+        F.when(mvc, F.concat(streams, F.array(second))).otherwise(streams).alias("streams"),
+    )
+
+
+def loop_device(said: Column) -> Column:
+    """The loop device that a mount tool names; null if none."""
+    return F.nullif(F.regexp_extract(said, r"(/dev/loop[0-9]+)", 1), F.lit(""))
+
+
+def mount_point(said: Column) -> Column:
+    """The mount point in the first line that has one: quoted, or the rest of the line with its spaces."""
+
+    def of_line(line: Column) -> Column:
+        quoted = F.regexp_extract(line, "mounted at `(/[^']*)'", 1)
+        rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(line, r"^.*? at (/.*)$", 1), r"(?U)\s+$", ""), r"\.+$", "")
+        return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(rest, F.lit("")))
+
+    return F.get(F.filter(F.transform(F.split(said, "\r?\n"), of_line), lambda p: p.isNotNull()), F.lit(0))
+
+
+def encoders_in(said: Column) -> Column:
+    """Which known encoders a listing names."""
+    return F.filter(F.array(*(F.lit(e) for e in ENCODERS.values())), lambda e: F.contains(said, e))
