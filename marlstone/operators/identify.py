@@ -158,3 +158,21 @@ def relation_caption(kind: Column, constituents: Column, containers: Column) ->
     whole = F.concat(F.lit("contains "), F.size(constituents).cast("string"), F.lit(" other title(s)"))
     part = F.concat(F.lit("part of "), F.array_join(F.transform(containers, lambda i: F.concat(F.lit("#"), i.cast("string"))), ", "))
     return F.when(kind == "composite", whole).when(kind == "constituent", part)
+
+
+def submission_role(override: Column, identity: Column) -> Column:
+    """No title becomes main for being the longest."""
+    return F.coalesce(override, identity, F.lit("Other"))
+
+
+def submission_chapters(override: Column, identity: Column) -> Column:
+    """The override as a whole unless it is empty, else the identity's chapters, by index and then by place."""
+    chosen = F.when(F.size(override) > 0, override).otherwise(identity)
+    keyed = F.transform(chosen, lambda c, i: F.struct(c["Index"].alias("k"), i.alias("o"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda x: x["c"])
+
+
+def row_title(index: Column, identity: Column, numbered: Column, name: Column) -> Column:
+    """Title n, with the first of the identity's, the disc's own and the scan's name; an empty scan name is none."""
+    shown = F.coalesce(identity, numbered, F.nullif(name, F.lit("")))
+    return F.concat(F.lit("Title "), index.cast("string"), F.coalesce(F.concat(F.lit(" — "), shown), F.lit("")))

@@ -95,3 +95,21 @@ def disc_type_with_markers(aacs2: Column, ssif: Column, video_ts: Column, bdmv:
 def stream_kind(label: Column) -> Column:
     """Video is the default."""
     return F.when(label == "Audio", "Audio").when(label.isin("Subtitle", "Subtitles"), "Subtitle").otherwise("Video")
+
+
+def has_mvc_exact(streams: Column) -> Column:
+    """P5: like has_mvc in this case only; what disc typing asks."""
+    return F.exists(streams, lambda s: F.contains(F.concat_ws(" ", s["codec_short"], s["codec_long"]), F.lit("MVC")))
+
+
+def input_kind(path: Column) -> Column:
+    """Iso, mkv or unknown, by the extension in any case."""
+    ext = ascii_lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+    return F.when(ext.isin("iso", "mkv"), ext).otherwise("unknown")
+
+
+def widest_stream(streams: Column) -> Column:
+    """The widest video stream, of equals the last; streams are structs with kind and width."""
+    video = F.filter(streams, lambda s: s["kind"] == "Video")
+    best = F.array_max(F.transform(video, lambda s, i: F.struct(F.coalesce(s["width"], F.lit(0)).alias("w"), i.alias("i"))))
+    return F.when(F.size(video) > 0, F.get(video, best["i"]))

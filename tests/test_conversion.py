@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import conversion, media, naming
-from marlstone.operators import identify, sinks
+from marlstone.operators import identify, scan, sinks
 from marlstone.sources import files
 
 
@@ -118,3 +118,20 @@ def test_newest_output(spark):
     listing = spark.createDataFrame([("a", "a/x.mkv", 1), ("a", "a/y.mkv", 9), ("b", "b/2.mkv", 5), ("b", "b/1.mkv", 5), ("b", "b/3.txt", 9)], "folder string, path string, mtime int")
     got = {r["folder"]: r["output"] for r in identify.resolve_output(want, listing, "folder", "want", "path", "mtime").collect()}
     assert got == {"a": "a/x.mkv", "b": "b/1.mkv", "c": None}
+
+
+def test_small_rules(spark):
+    kind = lambda p: one(spark, scan.input_kind(F.lit(p)))
+    assert [kind(p) for p in ("/a/X.ISO", "b.mkv", "c.iso/d", "e")] == ["iso", "mkv", "unknown", "unknown"]
+    streams = F.expr("array(struct('Video' as kind, 10 as width), struct('Video' as kind, 10 as width), struct('Audio' as kind, 99 as width))")
+    assert one(spark, scan.widest_stream(streams)) == ("Video", 10)
+    assert one(spark, scan.widest_stream(F.expr("array(struct('Audio' as kind, 99 as width))"))) is None
+    codecs = lambda c: F.expr(f"array(struct('{c}' as codec_short, '' as codec_long))")
+    assert (one(spark, scan.has_mvc_exact(codecs("Mpeg4-MVC-3D"))), one(spark, scan.has_mvc_exact(codecs("mvc"))), one(spark, scan.has_mvc(codecs("mvc")))) == (True, False, True)
+    none = F.lit(None).cast("string")
+    assert one(spark, identify.submission_role(none, none)) == "Other"
+    assert one(spark, identify.row_title(F.lit(3), none, none, F.lit(""))) == "Title 3"
+    assert one(spark, identify.row_title(F.lit(3), none, F.lit("B"), F.lit("C"))) == "Title 3 — B"
+    chapters = F.expr("array(struct(2 as Index, 'b' as Title), struct(1 as Index, 'a' as Title))")
+    empty = F.filter(chapters, lambda c: F.lit(False))
+    assert [c["Title"] for c in one(spark, identify.submission_chapters(empty, chapters))] == ["a", "b"]
