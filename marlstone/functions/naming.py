@@ -38,15 +38,20 @@ def movie_path(scheme: str, root: Column, title: Column, year: Column, imdb: Col
     return F.concat(root, F.lit("/"), folder, F.lit("/"), folder, _suffix(variant), F.lit(".mkv"))
 
 
-def episode_path(scheme: str, root: Column, title: Column, year: Column, season: Column, episode: Column, name: Column, imdb: Column, tmdb: Column, tvdb: Column) -> Column:
-    """N2, N5, N8."""
+def episode_path(
+    scheme: str, root: Column, title: Column, year: Column, season: Column, episode: Column, name: Column, imdb: Column, tmdb: Column, tvdb: Column, last: Column | None = None
+) -> Column:
+    """Last is the last episode of a file that holds several; a name without usable characters is left out."""
     base = _dated(title, year)
-    mark = F.format_string("s%02de%02d" if scheme == "plex" else "S%02dE%02d", season, episode)
-    own = sanitise(name)
+    small = scheme == "plex"
+    mark = F.format_string("s%02de%02d" if small else "S%02dE%02d", season, episode)
+    if last is not None:
+        mark = F.concat(mark, F.coalesce(F.when(last.isNotNull(), F.format_string("-e%02d" if small else "-E%02d", last)), F.lit("")))
+    own = F.nullif(sanitise(name), F.lit(""))
     if scheme in ("jellyfin", "emby"):
         folder = F.concat(base, _tag([("imdbid-", imdb), ("tmdbid-", tmdb), ("tvdbid-", tvdb)], "[", "]"))
         file = F.concat(base, F.lit(" "), mark, F.coalesce(F.concat(F.lit(" - "), own), F.lit("")))
-    elif scheme == "plex":
+    elif small:
         folder = F.concat(base, _tag([("tvdb-", tvdb), ("imdb-", imdb), ("tmdb-", tmdb)], "{", "}"))
         file = F.concat(base, F.lit(" - "), mark, F.coalesce(F.concat(F.lit(" - "), own), F.lit("")))
     else:

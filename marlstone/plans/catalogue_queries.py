@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import conversion, media, naming, text
-from ..operators import discs, identify, scan, sinks
+from ..operators import discs, identify, plan, scan, sinks
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -444,3 +444,81 @@ def render_json(spark, sf_dir):
 @_query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate, o_orderkey) AS INT) AS display_rank FROM orders")
 def stable_display_sort(spark, sf_dir):
     return identify.display_rank(_t(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderpriority") == "1-URGENT", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "display_rank")
+
+
+_ROLES_BY_KEY = ("Main", "Trailer", "Other", "Featurette")
+_LIBRARY_SQL = _PATH_SQL.replace("CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey END AS tvdb", "CAST(NULL AS BIGINT) AS tvdb").replace("o_orderkey % 24 + 1 AS e", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 24 + 1 ELSE 1 END AS e")
+_LIBRARY_FOLDERS = {"jellyfin": ("trailers", "extras", "featurettes"), "plex": ("Trailers", "Other", "Featurettes"), "kodi": ("", "extras", "extras")}
+
+
+def _register_library() -> None:
+    for scheme, folders in _LIBRARY_FOLDERS.items():
+
+        def paths(spark, sf_dir, scheme=scheme):
+            c, key = F.col, F.col("o_orderkey")
+            kind = F.when(key % 5 == 0, "Series").otherwise("Movie")
+            path = plan.library_path(
+                scheme, F.lit("/lib/"), kind, _nth(_ROLES_BY_KEY, key % 4), c("title"), c("year"), c("imdb"), c("tmdb"), c("season"), F.when(key % 3 > 0, c("episode")), c("name"), key % 6 == 0, F.concat(F.lit("Extra: "), key.cast("string"))
+            )
+            return _path_rows(spark, sf_dir).select("o_orderkey", path.alias("path"))
+
+        QUERIES[f"library_path_{scheme}"] = paths
+        shows = f"'/lib/Shows/' || t || y || {_EPISODE_TAGS[scheme]} || {_SEASON} || {_EPISODE_FILES[scheme]} || '.mkv'"
+        inside = "CASE o_orderkey % 4 " + " ".join(f"WHEN {n + 1} THEN '{f}/'" for n, f in enumerate(folders)) + " END"
+        extra = f"'/lib/Movies/' || t || y || tag || '/' || {inside} || 'Extra ' || o_orderkey || '.mkv'"
+        if scheme == "kodi":
+            extra = f"CASE o_orderkey % 4 WHEN 1 THEN '/lib/Movies/' || t || y || tag || '/' || t || y || tag || '-trailer.mkv' ELSE {extra} END"
+        movie = "'/lib/Movies/' || t || y || tag || '/' || t || y || tag || CASE WHEN o_orderkey % 6 = 0 THEN ' - 3D' ELSE '' END || '.mkv'"
+        path = f"CASE WHEN o_orderkey % 5 = 0 THEN {shows} WHEN o_orderkey % 4 = 0 THEN {movie} ELSE {extra} END"
+        ORACLES[f"library_path_{scheme}"] = _LIBRARY_SQL.replace("{tag}", _MOVIE_TAGS[scheme]).replace("{path}", path).replace("{{", "{").replace("}}", "}")
+
+
+_register_library()
+
+
+@_query("""WITH e AS (SELECT l_orderkey AS o_orderkey, CASE WHEN max(l_returnflag) <> 'R' THEN max(l_returnflag) END AS display_title, min(l_returnflag) AS role, max(l_linestatus) AS format FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
+SELECT o_orderkey, display_title, role, CASE WHEN o_orderkey % 2 = 0 THEN format END AS format FROM orders LEFT JOIN e USING (o_orderkey)""")
+def title_edits(spark, sf_dir):
+    flag = F.max("l_returnflag")
+    edits = _t(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.when(flag == "R", "  ").otherwise(flag).alias("display_title"), F.lit("").alias("episode_title"), F.min("l_returnflag").alias("role"), F.max("l_linestatus").alias("format"),
+    )
+    return plan.with_edits(_t(spark, sf_dir, "orders").select("o_orderkey"), edits, ["o_orderkey"], F.col("o_orderkey") % 2 == 0).select("o_orderkey", "display_title", "role", "format")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 5 <> 0 THEN p_type ELSE p_brand END AS ripped, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name END AS looked_up,
+CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS filled FROM part""")
+def title_precedence(spark, sf_dir):
+    key, c = F.col("p_partkey"), F.col
+    typed, item = F.when(key % 3 == 0, c("p_name")).otherwise(" "), F.when(key % 5 != 0, c("p_type"))
+    shown = F.when(key % 2 == 0, F.lit(" ")).otherwise(c("p_name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", plan.rip_title(typed, item, c("p_brand")).alias("ripped"), plan.overwritten(c("p_name"), F.when(key % 7 == 0, c("p_type"))).alias("looked_up"), plan.filled(shown, c("p_brand")).alias("filled"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE w END AS prefilled, CASE WHEN p_partkey % 4 > 0 AND p_partkey % 2 = 1 THEN p_size END AS prefilled_season, CASE WHEN p_partkey % 2 = 1 THEN w ELSE replace(p_name, ' ', '_') END AS title,
+CASE WHEN p_partkey % 2 = 1 THEN p_size ELSE 1 END AS season FROM (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS w FROM part)""")
+def unidentified_naming(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    series = key % 2 == 1
+    label = F.when(series, F.concat(name, F.lit("_S"), F.col("p_size").cast("string"))).otherwise(name)
+    shown, given = plan.prefilled_title(F.when(key % 4 == 0, F.col("p_brand")), label), plan.default_naming(F.when(series, "Series").otherwise("Movie"), label)
+    return _t(spark, sf_dir, "part").select("p_partkey", shown["title"].alias("prefilled"), shown["season"].alias("prefilled_season"), given["title"].alias("title"), given["season"].alias("season"))
+
+
+@_query("""WITH e AS (SELECT user_id, event_id, value, CASE WHEN event_type <> 'signup' THEN event_type END AS t FROM events) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id, t) AS INT) AS episode_rank FROM e WHERE t IS NOT NULL""")
+def named_episodes(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "signup", F.col("event_type")).alias("t"))
+    return plan.named_episodes(rows, ["user_id"], "event_id", "t").select("user_id", "event_id", "episode_rank")
+
+
+@_query("""SELECT o_custkey, o_orderkey, CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE false END AS selected FROM orders""")
+def quick_selected(spark, sf_dir):
+    mode = _nth(("all", "main", "none"), F.col("o_custkey") % 3)
+    return plan.quick_selected(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", mode).select("o_custkey", "o_orderkey", "selected")
+
+
+@_query("""SELECT l_orderkey, coalesce(bool_or(l_returnflag = 'R' AND l_linestatus = 'F'), false) AS encrypted FROM lineitem GROUP BY l_orderkey""")
+def encrypted_discs(spark, sf_dir):
+    path = F.when(F.col("l_returnflag") == "R", "BDMV/aacs").otherwise("BDMV/STREAM/AACS")
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", path.alias("path"), (F.col("l_linestatus") == "F").alias("is_dir"))
+    return plan.is_encrypted(rows, ["l_orderkey"], "path", "is_dir")
