@@ -169,11 +169,11 @@ def _group_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _window_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same for grams with very many contexts: every string of `window` bytes is counted by its hash."""
+    """The same for grams with very many contexts: every string of `window` bytes is counted by its gram and the hash of the rest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        margin, cols = window - gram, ([], [], [], [])
-        for key, at, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+        margin, cols = window - gram, ([], [], [], [], [])
+        for name, key, at, left, right in zip(*(c.to_pylist() for c in batch.columns)):
             l_hash, r_hash = [], []
             for side, out in ((left, l_hash), (right, r_hash)):
                 data = np.frombuffer(side, np.uint8).astype(np.uint64) + np.uint64(1)
@@ -183,14 +183,14 @@ def _window_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
             s = np.arange(max(0, margin - len(right)), min(margin, len(left)) + 1)
             salt = s.astype(np.uint64)
             hashes = [(a[s] * base ^ (a[s] >> np.uint64(29))) + b[margin - s] * np.uint64(0x9E3779B97F4A7C15) + salt * base for a, b, base in zip(l_hash, r_hash, _WIDE[::-1])]
-            for c, v in zip(cols, (hashes[0].view(np.int64), hashes[1].view(np.int64), np.full(len(s), key), at - s)):
+            for c, v in zip(cols, (np.full(len(s), name), hashes[0].view(np.int64), hashes[1].view(np.int64), np.full(len(s), key), at - s)):
                 c.append(v)
         arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays[:3]] + [pa.array(arrays[3].astype(np.int32))], ["w", "v", "key", "begin"])
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays[:4]] + [pa.array(arrays[4].astype(np.int32))], ["gram", "w", "v", "key", "begin"])
 
-    windows = map_batches(contexts.select("key", "at", "left", "right"), run, "w long, v long, key long, begin int")
-    again = windows.groupBy("w", "v").agg(F.count("*").alias("times")).where("times > 1").select("w", "v")
-    return windows.join(again, ["w", "v"]).select("key", "begin", (F.col("begin") + window).alias("end"))
+    windows = map_batches(contexts.select("gram", "key", "at", "left", "right"), run, "gram long, w long, v long, key long, begin int")
+    again = windows.groupBy("gram", "w", "v").agg(F.count("*").alias("times")).where("times > 1").select("gram", "w", "v")
+    return windows.join(again, ["gram", "w", "v"]).select("key", "begin", (F.col("begin") + window).alias("end"))
 
 
 def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 4096, live_bytes: int = 32 << 20) -> DataFrame:

@@ -72,6 +72,27 @@ def test_suffix_dedup_hot_grams(spark):
     assert plain == hot and len(plain) == 12
 
 
+def test_suffix_dedup_hot_grams_differ(spark):
+    """Two hot grams between equal surroundings make different strings."""
+    rng = random.Random(7)
+    near, far, other = [tuple("".join(rng.choices("abcdefgh", k=100)) for _ in range(2)) for _ in range(3)]
+
+    def anchor():
+        while True:
+            gram = "".join(rng.choices("abcdefgh", k=100))
+            if all(100 in anchors.find([(a + gram + b).encode()], 200, 100).at for a, b in (near, far, other)):
+                return gram
+
+    one, two = anchor(), anchor()
+    rows = list(enumerate([near[0] + one + near[1], far[0] + one + far[1], near[0] + two + near[1], other[0] + two + other[1], other[0] + two + near[0]]))
+    seen = Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = {i: {p for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for p in range(k, k + 200)} for i, t in rows}
+    texts = spark.createDataFrame(rows, "key bigint, text string")
+    for hot in (4096, 1):
+        got = {r["key"]: {p for s in r["spans"] for p in range(max(0, s["begin"]), s["end"])} for r in suffix_dedup.repeated_spans(texts, hot=hot).collect()}
+        assert got == {i: p for i, p in want.items() if p} and set(got) == {3, 4}
+
+
 def test_anchors_agree_in_parts():
     data = [prose(9, 2000).encode(), b"", b"a" * 3000, prose(10, 40).encode()]
     one, parts = anchors.find(data, 200, 100), anchors.find(data, 200, 100, part=1500)
