@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.media import le_u64_hex
+from ..functions.text import ascii_lower
 
 
 def content_hash(files: DataFrame, keys: list[str], order: Column, size: str) -> DataFrame:
@@ -52,9 +53,24 @@ def content_kind(titles: DataFrame, keys: list[str], duration: Column, least: in
     return titles.groupBy(*keys).agg(F.when((n >= 3) & (high / low <= 1.2) & (high <= most), "Series").otherwise("Movie").alias("content_kind"))
 
 
-def main_title(titles: DataFrame, keys: list[str], index: str, duration: Column, order: Column) -> DataFrame:
-    """A4: the title with the longest duration; of equals the last."""
-    return titles.groupBy(*keys).agg(F.max_by(index, F.struct(F.coalesce(duration, F.lit(0)).alias("d"), order.alias("o"))).alias("main_title"))
+def main_title(titles: DataFrame, keys: list[str], index: str, duration: Column, order: Column, identities: DataFrame | None = None, source_file: str = "source_file") -> DataFrame:
+    """A4: the main title of the first identity, else the title with the longest duration; of equals the last.
+
+    identities has keys, identity and position (the orders of a disc's identities and of an identity's titles), index,
+    role and source_file. The first title with role Main of a disc's first identity is meant, without regard to later
+    identities. Its source_file names the disc's first title, by `order`, with that source_file, in any case of ASCII
+    letters; where it is null or empty or no title has it, the identity's own index counts.
+    """
+    longest = titles.groupBy(*keys).agg(F.max_by(index, F.struct(F.coalesce(duration, F.lit(0)).alias("d"), order.alias("o"))).alias("main_title"))
+    if identities is None:
+        return longest
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("identity"))
+    mains = identities.withColumn("_rank", rank).where("_rank = 1 and role = 'Main'")
+    mains = mains.groupBy(*keys).agg(F.min_by(F.struct(F.col("index").alias("own"), F.col("source_file").alias("file")), "position").alias("_m"))
+    mains = mains.select(*keys, F.col("_m.own").alias("_own"), ascii_lower(F.col("_m.file")).alias("_file"), F.lit(True).alias("_has"))
+    files = titles.groupBy(*keys, ascii_lower(F.col(source_file)).alias("_file")).agg(F.min_by(index, order).alias("_mapped")).where("_file <> ''")
+    named = mains.join(files, [*keys, "_file"], "left").select(*keys, F.coalesce("_mapped", "_own").alias("_named"), "_has")
+    return longest.join(named, keys, "full").select(*keys, F.when(F.col("_has"), F.col("_named")).otherwise(F.col("main_title")).alias("main_title"))
 
 
 def feature_playlists(items: DataFrame, disc: str, playlist: str, length: Column, found: Column) -> DataFrame:

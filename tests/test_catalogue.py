@@ -63,6 +63,18 @@ def test_relations(spark):
     assert got == {0: ("composite", [1, 2], None), 1: ("constituent", None, [0]), 2: ("constituent", None, [0]), 3: ("atomic", None, None), 4: ("atomic", None, None)}
 
 
+def test_main_title_of_identity(spark):
+    rows = [(d, i, t, f) for d in "abcdefg" for i, t, f in ((0, 50, None), (1, 10, "00001.MPLS"), (2, 90, "00002.mpls"), (3, 90, ""), (4, 5, "00001.mpls"))]
+    titles = spark.createDataFrame(rows, "d string, i int, t int, source_file string")
+    known = [
+        ("a", 0, 0, 7, "Extra", "00002.mpls"), ("a", 0, 1, 8, "Main", "00001.mpls"), ("a", 0, 2, 9, "Main", "00002.mpls"), ("b", 0, 0, 1, "Main", None), ("c", 0, 0, 6, "Main", "x.mpls"),
+        ("d", 0, 0, 0, "Main", ""), ("e", 0, 0, 1, "Extra", "00001.mpls"), ("e", 1, 0, 1, "Main", "00001.mpls"), ("f", 4, 0, 0, "Main", "00001.mpls"), ("f", 2, 5, 0, "Main", "00002.MPLS"), ("z", 0, 0, 5, "Main", None),
+    ]
+    identities = spark.createDataFrame(known, "d string, identity int, position int, index int, role string, source_file string")
+    got = discs.main_title(titles, ["d"], "i", F.col("t"), F.col("i"), identities)
+    assert {r["d"]: r["main_title"] for r in got.collect()} == {"a": 1, "b": 1, "c": 6, "d": 0, "e": 3, "f": 2, "g": 3, "z": 5}
+
+
 def test_robot_log():
     lines = ['TINFO:0,2,0,"a ""b"", c"', "garbage", 'MSG:5,0,0,"two', 'lines"', "CINFO:1,\\", "2", 'SINFO:0,0,1,0,"open']
     assert list(robot_log.fold(lines)) == [("TINFO", ["0", "2", "0", 'a "b", c']), ("MSG", ["5", "0", "0", "two\nlines"]), ("CINFO", ["1", "\n2"])]
