@@ -20,14 +20,14 @@ _PIECES: dict[str, list[str]] = {}
 _SCORES: dict[int, tuple] = {}
 
 
-def vocabulary(path: str, longest: int = 12) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """The distinct lower-cased pieces of a sentencepiece file that are letters, with the word mark or without."""
     if path not in _PIECES:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-        _PIECES[path] = sorted(p for p in pieces if len(p) <= longest and (p.removeprefix("▁").isalpha() or p == "▁"))
+        _PIECES[path] = sorted(p for p in pieces if p.removeprefix("▁").isalpha() or p == "▁")
     return _PIECES[path]
 
 
@@ -70,30 +70,34 @@ def forward(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, longe
 
 
 def fit_pieces(words: dict[str, int], pieces: list[str], rounds: int, smoothing: float, longest: int) -> np.ndarray:
-    """Probabilities of the pieces by expectation maximisation over all segmentations of the counted words."""
+    """Probabilities of the pieces by expectation maximisation over all segmentations of the counted words.
+
+    Sums at a place are kept as fwd[j] * 2 ** shift[j], so words of any length work.
+    """
     at = {p: i for i, p in enumerate(pieces)}
     probs = [1.0 / len(pieces)] * len(pieces)
     floor = 1e-9
     lattices = []
     for word, count in words.items():
-        w = "▁" + word[:64]  # piece counts of longer words add nothing that shorter ones do not show
+        w = "▁" + word
         arcs = [[(i, at[w[i:j]]) for i in range(max(0, j - longest), j) if w[i:j] in at] for j in range(1, len(w) + 1)]
         lattices.append((count, arcs))
     for _ in range(rounds):
         soft = [smoothing] * len(pieces)
         for count, arcs in lattices:
             n = len(arcs)
-            fwd = [1.0] + [0.0] * n
+            fwd, shift, e = [1.0] + [0.0] * n, [0] * (n + 1), 0
             for j, ends in enumerate(arcs, 1):
-                fwd[j] = fwd[j - 1] * floor + sum(fwd[i] * probs[p] for i, p in ends)
-            if fwd[n] <= 0:
-                continue
+                own = fwd[j - 1] * floor + sum(fwd[i] * probs[p] if shift[i] == e else math.ldexp(fwd[i] * probs[p], shift[i] - e) for i, p in ends)
+                if own < 1e-150:
+                    own, e = math.ldexp(own, 500), e - 500
+                fwd[j], shift[j] = own, e
             bwd = [0.0] * n + [count / fwd[n]]
             for j in range(n, 0, -1):
-                b = bwd[j]
-                bwd[j - 1] += b * floor
+                b, e = bwd[j], shift[j]
+                bwd[j - 1] += math.ldexp(b * floor, shift[j - 1] - e)
                 for i, p in arcs[j - 1]:
-                    x = b * probs[p]
+                    x = b * probs[p] if shift[i] == e else math.ldexp(b * probs[p], shift[i] - e)
                     bwd[i] += x
                     soft[p] += fwd[i] * x
         total = sum(soft)

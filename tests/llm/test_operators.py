@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -197,6 +198,22 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [0.2 * 0.3 + 0.1, 0.1 * 0.1 + 0.4])
 
 
+def test_pieces_of_long_words():
+    """Whole runs of letters count, beyond what a float can hold and where letters are no pieces."""
+    pieces = ["▁", "a", "ab", "b", "c"]
+    for word in ("ab" * 300 + "c", "é" * 200 + "abc", "abc" + "é" * 200):
+        w, p, floor = "▁" + word, Fraction(1, 5), Fraction(1e-9)
+        arcs = [(i, j, pieces.index(w[i:j])) for j in range(1, len(w) + 1) for i in range(max(0, j - 2), j) if w[i:j] in pieces]
+        fwd, bwd = [Fraction(1)] + [Fraction(0)] * len(w), [Fraction(0)] * len(w) + [Fraction(1)]
+        for j in range(1, len(w) + 1):
+            fwd[j] = fwd[j - 1] * floor + sum(fwd[i] * p for i, k, _ in arcs if k == j)
+        for i in range(len(w) - 1, -1, -1):
+            bwd[i] = bwd[i + 1] * floor + sum(bwd[j] * p for k, j, _ in arcs if k == i)
+        soft = [0.05 + float(sum(fwd[i] * p * bwd[j] for i, j, k in arcs if k == own) / fwd[-1]) for own in range(5)]
+        assert np.allclose(langid.fit_pieces({word: 1}, pieces, 1, 0.05, 2), np.array(soft) / sum(soft))
+    assert "▁distinguished" in langid.vocabulary(PIECES)
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, prose(i, 80) if i % 2 else " | ".join(prose(i, 20).split()), i % 2) for i in range(80)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
