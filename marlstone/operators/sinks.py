@@ -1,4 +1,4 @@
-"""Catalogue documents (survey K1-K6, W7, P11, F22)."""
+"""Catalogue documents (survey K1-K3, K6, W7, P11, F22)."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def disc_json(df: DataFrame, keys: list[str], fields: dict[str, Column], titles:
 
 
 def write_documents(docs: DataFrame, path: str, kind: str) -> None:
-    """K4, K5: documents as a table partitioned by kind; one row a file of the staged tree."""
+    """Documents as a table partitioned by kind, a row each. The staged tree of files (K4) and the persisted hash index (K5) are not built."""
     docs.write.mode("overwrite").partitionBy(kind).parquet(path)
 
 

@@ -1,4 +1,4 @@
-"""Progress of jobs as streams (survey T-1 to T-6, S22)."""
+"""Progress of jobs as streams (survey T-2 to T-5, S22)."""
 
 from __future__ import annotations
 
