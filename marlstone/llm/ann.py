@@ -48,12 +48,14 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (usual["d"] if usual else 0))
 
 
-def build(df: DataFrame, id_col: str, vector_col: str, sample: int = 20_000, cell_rows: int = 12, most: int = 256) -> MultiIndex | None:
+def build(df: DataFrame, id_col: str, vector_col: str, sample: int = 20_000, cell_rows: int = 12, fewest: int = 64, most: int = 256) -> MultiIndex | None:
     """Index every usable row; None if there is none.
 
     Each half of the vectors is quantised by k-means of its own, fitted on about `sample` rows chosen by a hash of the
-    id. The number of centroids makes `cell_rows` rows a pair on average, up to `most` centroids a half, so the sizes of
-    all pairs (most ** 2 numbers) are what the driver keeps.
+    id. The number of centroids makes `cell_rows` rows a pair on average, between `fewest` and `most` centroids a half
+    but no more than a quarter of the sample, so the sizes of all pairs (most ** 2 numbers) are what the driver keeps. Rows with a null id, and vectors that are null, zero, of
+    another length than most or hold null or non-finite components are not indexed. Repeated rows are indexed each and
+    found each; other columns are not read, whatever their names.
     """
     rows = usable(df, id_col, vector_col)
     n = rows.count()
@@ -62,7 +64,7 @@ def build(df: DataFrame, id_col: str, vector_col: str, sample: int = 20_000, cel
     part = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
     fit = np.array([r["v"] for r in part.select("v").collect()] or [rows.first()["v"]])
     half = fit.shape[1] // 2
-    k = int(np.clip(round((n / cell_rows) ** 0.5), 1, min(most, len(fit))))
+    k = int(min(np.clip(round((n / cell_rows) ** 0.5), fewest, most), max(1, len(fit) // 4)))
     first, second = k_means(fit[:, :half], k), k_means(fit[:, half:], k)
 
     def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,11 +113,11 @@ def _blocks(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]
     return first, many
 
 
-def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = 0.5, least: int = 4000, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = 0.5, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """The k nearest rows found for each query (id long, v array<double>): query_id, rank, vec_id, score.
 
-    Each query visits pairs of centroids until they hold `share` of the index and `least` rows, and reranks all rows of
-    these by Euclidean distance in double precision; ties go to the smaller id, and a query's own id is left out.
+    Each query visits pairs of centroids until they hold more than `share` of the index, and reranks all rows of these
+    by Euclidean distance in double precision; ties go to the smaller id, and a query's own id is left out.
     Cells are dealt to blocks of about `block_rows` rows, a cell with more rows to several, and the queries of a block
     are dealt to parts of about `query_rows`, so no cell, however many rows share it, becomes one task. Queries with the
     same id count as one, the one whose vector sorts first; repeated vectors under different ids are all candidates.
@@ -123,7 +125,7 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 10, share: float = 0.
     visiting = queries.groupBy("id").agg(F.min("v").alias("v"))
     spark = index.rows.sparkSession
     bare = MultiIndex(index.first, index.second, index.sizes, None)
-    enough = max(least, int(share * index.sizes.sum())) + 1
+    enough = int(share * index.sizes.sum()) + k + 1  # the query's own row and k others at least
     first, many = _blocks(index.sizes, block_rows)
 
     def plan(batch: pa.RecordBatch) -> pa.Table | None:
