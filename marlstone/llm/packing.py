@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, number_within, stored
+from .common import map_batches, number_within, placed
 
 _TOKENIZERS: dict[str, tuple] = {}
 _WORDS: dict[str, dict[bytes, bytes]] = {}
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capac
     The driver gets the histogram of lengths (`capacity` rows at most) and plans bins as patterns of lengths. Each piece
     finds its sequence from its number among the pieces of its length, so documents are never moved or gathered.
     """
-    pieces = stored(tokenised_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id), "pieces")
+    pieces = placed(tokenised_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     taken, base, rows = dict.fromkeys(counts, 0), 0, []
     for times, use in plan_bins(counts, capacity):
@@ -211,6 +211,6 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capac
             offset[at] = own[:, 4] + t % own[:, 2] * one
         return pa.Table.from_batches([batch]).drop_columns(["rank"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    numbered = number_within(pieces, ["length"], ["id", "piece", "ids_crc32"], "rank").select(*pieces.columns, "rank")
+    numbered = number_within(pieces, ["length"], "rank").select("id", "piece", "start", "length", "ids_crc32", "rank")
     kind = pieces.schema["id"].dataType.simpleString()
     return map_batches(numbered, place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_within
+from .common import number_within, placed
 
 #: Fixed values of the published generator: next = state * MULTIPLIER + 1 modulo 2^64.
 MULTIPLIER = 2862933555777941757
@@ -43,14 +43,15 @@ def jump_shards(seed: Column, shards: int, grown: int) -> tuple[Column, Column]:
     return walk["small"].cast("int"), walk["large"].cast("int")
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, text: str | None = None, blocks: int = 256) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int, text: str | None = None) -> DataFrame:
     """Shard, slot and grown shard of every row of df.
 
     Returns key, shard int, slot long (0, 1, ... in each shard), grown_shard int (with one more shard) and, if `text` is
     named, size long (its UTF-8 bytes plus 1; 1 for null) and text_crc32 long (that of the empty text for null).
     Only the key and the number of shards decide: equal keys meet in a shard, and a null key counts as the empty key.
     Repeated rows each get a slot. Other columns are not read, whatever their names; an empty table gives no rows.
-    No shard or key is gathered in one task: slots come from hashed blocks of each shard.
+    Texts are read once; what is known of each row is written to the shared folder. No shard or key is gathered in one
+    task, even if all rows have the same key: slots come from runs of rows that one task wrote.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -61,5 +62,4 @@ def assign_shards(df: DataFrame, key: str, shards: int, text: str | None = None,
     small, large = jump_shards(stable_key(F.col("key")), shards, shards + 1)
     rows = df.select(*out).withColumn("_walk", F.struct(small.alias("s"), large.alias("g")))
     rows = rows.withColumns({"shard": F.col("_walk.s"), "grown_shard": F.col("_walk.g")}).drop("_walk")
-    order = [c for c in ("key", "size", "text_crc32") if c in rows.columns]
-    return number_within(rows, ["shard"], order, "slot", blocks).withColumnRenamed("key", key)
+    return number_within(placed(rows, "shards"), ["shard"], "slot").withColumnRenamed("key", key)
