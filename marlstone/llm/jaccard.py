@@ -12,26 +12,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, join_measured, kept, map_batches, stored
+from .common import fits, join_measured, join_spread, map_batches, placed, stored
 from .graph import components
 from .shingles import mix, shingle_sets
 
-#: Bits of the counting sketch's index: its size does not depend on the data.
-SKETCH_BITS = 18
+#: Least and most bits of the counting sketch's index: it takes 2 to 32 MB.
+SKETCH_BITS, MOST_BITS = 18, 22
 
 
-def sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """How many documents have a shingle in each of 2 ** SKETCH_BITS hash buckets, over all documents."""
+def sketch_bits(documents: int) -> int:
+    """Bits for a bucket for every four documents, within the bounds."""
+    return min(MOST_BITS, max(SKETCH_BITS, (documents // 4).bit_length()))
+
+
+def sketch(docs: DataFrame, text_col: str, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How many documents have a shingle in each of 2 ** bits hash buckets, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for s in shingle_sets(batch.column(0).to_pylist(), width):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": total[at]})
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << bits, np.int64)
     summed = docs.select(text_col).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
     return out
@@ -65,7 +70,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, frequent: int, share: tuple[in
     if not n:
         return s
     errors = n - needed(n, share)
-    count = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    count = counts[(s >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
     often = count > frequent if 4 * share[0] > 3 * share[1] else np.zeros(n, bool)
     if errors == 0 and n < 4 and 4 * share[0] > 3 * share[1]:
         return s[:0]
@@ -107,7 +112,7 @@ def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
 
 def _of_hubs(first: DataFrame, hubs: DataFrame) -> DataFrame:
     """rep, n, mark for the marks that several sets have: told apart in the scan if they fit in a broadcast."""
-    if hubs.count() * 8 > BROADCAST_BYTES:
+    if not fits(hubs.count() * 8):
         return first.select("rep", "n", F.explode("marks").alias("mark"))  # the join with the hubs filters
     live = first.sparkSession.sparkContext.broadcast(np.sort(hubs.select("mark").toArrow()["mark"].to_numpy()))
 
@@ -121,13 +126,22 @@ def _of_hubs(first: DataFrame, hubs: DataFrame) -> DataFrame:
     return map_batches(first.select("rep", "n", "marks"), run, "rep long, n long, mark long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets, which are made again from the texts of rows (id, text)."""
+def _sets_of(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """rep and tokens binary: the whole sets of the stored ids asked for, made again from the texts of rows (id, text).
+
+    Where rows of one id differ, each of their sets is given.
+    """
 
     def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "tokens"])
 
+    return stored(map_batches(join_measured(rows, asked, "id", "left_semi", 16), set_rows, "rep long, tokens binary"), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b, x, y = (batch.column(i) for i in range(4))
         keep = [linked(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), share) for p, q in zip(x, y)]
@@ -135,8 +149,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, share: tuple[int, i
         return pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     pairs = stored(pairs, "pairs")
-    asked = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = stored(map_batches(join_measured(rows, asked, "id", "left_semi", 16), set_rows, "rep long, tokens binary"), "sets")
+    sets = _sets_of(stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), rows, width)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
@@ -172,10 +185,10 @@ def _may_link(pairs: DataFrame, info: DataFrame, share: tuple[int, int]) -> Data
     return map_batches(both.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
-def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool) -> pa.Table:
-    """The pairs of a bucket that may be linked and are not known to be in one component."""
+def _candidates(group: pa.Table, share: tuple[int, int], same_block: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of two blocks of a bucket, each with those it may be linked to and is not known to be in one component with."""
     rep, n, comp, hub, block = (group[c].to_numpy() for c in ("rep", "n", "component", "hub", "block"))
-    maps, a, b = group["bits"].to_pylist(), [], []
+    maps = group["bits"].to_pylist()
     sizes = np.array([len(m) for m in maps])
     for size in np.unique(sizes):
         # Bitmaps of other sizes are folded to the smaller one.
@@ -192,27 +205,102 @@ def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool) -> p
             if len(at):
                 differ = np.bitwise_count(marks[at] ^ marks[place[i]]).sum(1)
                 at = at[differ <= most_different(n[other[at]] + n[i], share)]
-                a.append(np.minimum(rep[other[at]], rep[i]))
-                b.append(np.maximum(rep[other[at]], rep[i]))
-    return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+                if len(at):
+                    yield i, other[at]
+
+
+def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The candidate pairs of two blocks; None if they are more than `most` for each row."""
+    rep, found, count = group["rep"].to_numpy(), [], 0
+    for i, at in _candidates(group, share, same_block):
+        found.append((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i])))
+        count += len(at)
+        if count > most * len(rep):
+            return None
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _spanning(group: pa.Table, share: tuple[int, int], same_block: bool) -> pa.Table:
+    """Links of two blocks that join all their rows which links of these blocks can join, at most one for each row."""
+    rep, comp, tokens = group["rep"].to_numpy(), group["component"].to_numpy().tolist(), group["tokens"].to_pylist()
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for i, at in _candidates(group, share, same_block):
+        for j in at.tolist():
+            a, b = top(comp[i]), top(comp[j])
+            if a != b and linked(np.frombuffer(tokens[i], np.uint64), np.frombuffer(tokens[j], np.uint64), share):
+                above[max(a, b)] = min(a, b)
+                out[0].append(int(rep[i]))
+                out[1].append(int(rep[j]))
+    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+
+def _crossed(buckets: DataFrame, info: DataFrame, formed: DataFrame, rows: DataFrame, width: int, share: tuple[int, int], block: int, block_bytes: int, most: int) -> DataFrame:
+    """Links (a, b) that join all sets of a bucket which are linked but still in different components.
+
+    In each bucket the component with most members is the main one. Members of others are dealt to blocks and compared
+    with all blocks, those of the main one with these blocks only: so a bucket in which few are left costs about as many
+    rows as it has. Blocks hold about `block` rows and `block_bytes` of whole sets. Candidate pairs are verified outside;
+    blocks with more than `most` for each row get the whole sets instead and give no more than a spanning forest.
+    """
+    labelled = buckets.where("size > 2").join(formed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = stored(labelled.select("mark", "rep", "n", "hub", "component"), "labelled")
+    per = labelled.groupBy("mark", "component").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8 + 640).alias("bytes"))
+    top = per.groupBy("mark").agg(F.max(F.struct("members", "bytes", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("members").alias("size"), F.sum("bytes").alias("bytes")).where("kinds > 1")
+    parts = lambda members, size: F.ceil(F.greatest(members / F.lit(block), size / F.lit(block_bytes))).cast("int")
+    top = top.select("mark", "size", F.col("main.component").alias("main"), parts(F.col("size") - F.col("main.members"), F.col("bytes") - F.col("main.bytes")).alias("po"), parts(F.col("main.members"), F.col("main.bytes")).alias("pm"))
+    dealt = join_spread(labelled, stored(top, "open"), ["mark"], "size").join(info.select("rep", "bits"), "rep")
+    own = F.col("component") == F.col("main")
+    dealt = dealt.withColumn("block", F.when(own, F.col("po") + F.pmod(F.xxhash64("rep"), F.col("pm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("po"))).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(own, F.col("po")).otherwise(F.col("po") + F.col("pm")) - 1))).withColumns({"i": F.least("block", "with").cast("int"), "j": F.greatest("block", "with").cast("int")})
+    dealt = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits")
+
+    def look(key: tuple, group: pa.Table) -> pa.Table:
+        mark, i, j = (k.as_py() for k in key)
+        pairs = _cross_pairs(group, share, i == j, most)
+        a, b = (pa.array(x, pa.int64()) for x in pairs) if pairs else (pa.nulls(1, pa.int64()),) * 2
+        where = (pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())) if pairs else (pa.array([mark], pa.int64()), pa.array([i], pa.int32()), pa.array([j], pa.int32()))
+        return pa.table([a, b, *where], ["a", "b", "mark", "i", "j"])
+
+    looked = stored(dealt.groupBy("mark", "i", "j").applyInArrow(look, "a long, b long, mark long, i int, j int"), "looked")
+    links = _verified(looked.where("a is not null").select("a", "b").distinct(), rows, width, share)
+    dense = looked.where("a is null").select("mark", "i", "j")
+    full = dense.count()
+    if not full:
+        return links
+    dealt = dealt.join(F.broadcast(dense) if fits(full * 24) else dense.hint("merge"), ["mark", "i", "j"])
+    sets = _sets_of(stored(dealt.select(F.col("rep").alias("id")).distinct(), "ids"), rows, width)
+
+    def span(key: tuple, group: pa.Table) -> pa.Table:
+        return _spanning(group, share, key[1].as_py() == key[2].as_py())
 
+    return links.union(dealt.join(sets, "rep").groupBy("mark", "i", "j").applyInArrow(span, "a long, b long"))
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5, share: tuple[int, int] = (80, 100), block: int = 2048) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5, share: tuple[int, int] = (80, 100), block: int = 1024, block_bytes: int = 16 << 20, most: int = 8) -> DataFrame:
     """The components of all texts under links of at least share[0] / share[1] Jaccard similarity of word shingles.
 
     Returns a row per document: the id (as long), n_shingles long and component_id long, the smallest id reachable by
-    links. Texts that are null or have no word have no shingles and link with nothing. Ids
-    are taken to be unique but for repeated rows; rows with a null id are returned with their count and a null component. An empty table gives no rows. Other
-    columns are not read. All links count: no bucket, partner or candidate is left out.
-
-    Texts with equal sets are collapsed first, so copies make no pairs. Sets that share a signature make a bucket. In
-    each bucket all sets are verified against the one with the smallest id, and components are formed. Only pairs that
-    are still in different components are then looked at, bucket by bucket in blocks of about `block` sets, with a bound
-    on their difference from bitmaps, and what is left is verified. So a group of near copies costs about as many
-    verifications as it has members, and a group with a third of the rows is spread over blocks.
+    links. Texts that are null or have no word have no shingles and link with nothing. Ids are taken to be unique but
+    for repeated rows; rows with a null id are returned with their count and a null component. An empty table gives no
+    rows. Other columns are not read. All links count: no bucket, partner or candidate is left out.
+
+    Shingles are compared by 64-bit hashes: two different ones of a text or pair are taken for one with odds of about
+    (shingles in both)^2 / 2^65. Texts with equal sets (by a 128-bit digest) are collapsed first, so copies make no
+    pairs. Sets that share a signature make a bucket. In each bucket all sets are verified against the one with the
+    smallest id, and components are formed. Only sets that are still in different components are then looked at, in
+    blocks, as _crossed() says. A group of near copies costs about as many verifications as it has members; one whose
+    members are mostly not linked is quadratic in work, but not in rows that come out of it.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts = sketch(rows, "text", width)
+    counts = sketch(rows, "text", width, sketch_bits(rows.count()))
     mean = counts.mean()
     frequent = int(mean + 8 * mean**0.5 + 256)
 
@@ -224,30 +312,25 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int = 5,
             [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "digest", "bits", "marks"]
         )
 
-    described = stored(map_batches(rows, describe, "id long, n long, digest binary, bits binary, marks array<long>"), "described")
+    described = placed(map_batches(rows, describe, "id long, n long, digest binary, bits binary, marks array<long>"), "described")
     own = described.where("id is not null and digest is not null")
-    reps = kept(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    first = join_measured(own, reps.where("copies > 1").select("digest", "rep"), "digest", "left", 64).where("rep is null or rep = id").select(F.col("id").alias("rep"), "n", "bits", "marks")
+    reps = own.groupBy("digest").agg(F.min(F.struct("id", "_seq")).alias("first"), F.count("*").alias("copies"))
+    reps = stored(reps.select("digest", F.col("first.id").alias("rep"), F.col("first._seq").alias("chosen"), "copies"), "reps")
+    copied = reps.where("copies > 1")
+    if fits(copied.count() * 64):
+        first = own.join(F.broadcast(copied.select("digest", "chosen")), "digest", "left").where("chosen is null or chosen = _seq")
+    else:  # by row, as a digest may have most of the rows
+        first = own.join(reps.select(F.col("chosen").alias("_seq")).hint("merge"), "_seq", "left_semi")
+    first = first.select(F.col("id").alias("rep"), "n", "bits", "marks")
     hubs = first.select("rep", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = stored(hubs, "hubs")
     buckets = stored(_of_hubs(first, hubs).join(hubs, "mark"), "buckets")
-    wanted = kept(buckets.select("rep").distinct())
-    info = stored(join_measured(first.select("rep", "n", "bits"), wanted, "rep", "left_semi", 16), "info")
+    info = stored(join_measured(first.select("rep", "n", "bits"), stored(buckets.select("rep").distinct(), "wanted"), "rep", "left_semi", 16), "info")
     stars = _may_link(buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), info, share)
     links = stored(_verified(stars, rows, width, share), "stars")
-    formed = components(links)
-    labelled = buckets.where("size > 2").join(formed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_marks = labelled.groupBy("mark").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("mark")
-    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = labelled.join(open_marks, "mark").join(info.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-
-    def look(key: tuple, group: pa.Table) -> pa.Table:
-        return _cross_pairs(group, share, key[1].as_py() == key[2].as_py())
-
-    crossed = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits").groupBy("mark", "i", "j").applyInArrow(look, "a long, b long").distinct()
-    more = _verified(crossed, rows, width, share)
+    more = _crossed(buckets, info, components(links), rows, width, share, block, block_bytes, most)
     found = components(links.union(more))
-    rep_component = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = described.join(rep_component, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    rep_component = stored(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id")), "classes")
+    out = join_spread(own.select("id", "n", "digest"), rep_component, ["digest"], "copies").select("id", "n", "component_id")
+    out = out.union(described.where("id is null or digest is null").select("id", "n", "id"))
+    return out.toDF(id_col, "n_shingles", "component_id")
