@@ -31,7 +31,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), "doc_id", "text", 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"), "doc_id", "text", 200, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

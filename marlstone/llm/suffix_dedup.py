@@ -1,4 +1,9 @@
-"""Exact substring deduplication: suffix arrays over the contexts of repeated anchors."""
+"""Substring deduplication: suffix arrays over the contexts of repeated anchors, and counts of whole contexts.
+
+Strings are told apart by hashes in two places, else by bytes. Contexts of equal grams that have equal 64-bit hashes
+count as equal: for a gram with k different contexts the odds of a wrong pair are about k^2 / 2^65. Strings of a gram
+with very many contexts are told apart by two such hashes together, with odds of about k^2 / 2^129.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find
-from .common import map_batches, stored
+from .common import fits, join_measured, join_spread, map_batches, stored
 from .gsaca import suffix_array
 
 _WIDE = np.random.default_rng(21).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -189,36 +194,36 @@ def _window_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays[:4]] + [pa.array(arrays[4].astype(np.int32))], ["gram", "w", "v", "key", "begin"])
 
     windows = map_batches(contexts.select("gram", "key", "at", "left", "right"), run, "gram long, w long, v long, key long, begin int")
-    again = windows.groupBy("gram", "w", "v").agg(F.count("*").alias("times")).where("times > 1").select("gram", "w", "v")
-    return windows.join(again, ["gram", "w", "v"]).select("key", "begin", (F.col("begin") + window).alias("end"))
+    again = stored(windows.groupBy("gram", "w", "v").agg(F.count("*").alias("times")).where("times > 1"), "strings")
+    return join_spread(windows, again, ["gram", "w", "v"], "times").select("key", "begin", (F.col("begin") + window).alias("end"))
 
 
-def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 4096, live_bytes: int = 32 << 20) -> DataFrame:
-    """key and spans array<struct<begin, end>> (in bytes, not merged) that cover all repeated strings of `window` bytes.
+def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 4096) -> DataFrame:
+    """key and spans array<struct<begin, end>> (bytes; disjoint, in order, begin may be below 0) that cover all repeated strings.
 
     texts has key long and text. Each string of `window` bytes holds an anchor chosen by content, so repeated strings
     share an anchor's gram. Grams are counted; occurrences of those that come again are kept. A whole context that comes
     again is repeated without further work. Contexts of repeated grams that occur once, the edges of what is repeated,
     meet one example of each other context of their gram, and suffix arrays tell what they share. Counts are
     pre-aggregated, so only different contexts of a gram meet; a gram with more than `hot` of them is done by counting
-    its strings instead, which spreads over tasks. Grams that come again are broadcast if they take at most `live_bytes`,
-    and else joined.
+    its strings instead, which spreads over tasks. Grams, contexts and strings that come very often are joined without
+    moving their rows. What one text's rows gather grows with the length of that text alone.
     """
     spark = texts.sparkSession
     grams = _occurrences(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     grams = stored(grams, "grams")
-    if grams.count() * 8 <= live_bytes:
+    if fits(grams.count() * 8):
         live = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()))
         again = _occurrences(texts, window, gram, live)
     else:
         again = _occurrences(texts, window, gram).join(grams.hint("merge"), "gram", "left_semi")
     again = stored(again, "occurrences")
     kinds = stored(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "kinds")
-    whole = again.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
+    whole = join_spread(again, kinds.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n")
     whole = whole.select("key", (F.col("at") - (window - gram)).alias("begin"), (F.col("at") + window).alias("end"))
-    edges = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds")
-    asked = stored(kinds.join(edges, "gram").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > hot).alias("hot")), "asked")
-    by_text = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "hot")).alias("asks"))
+    edges = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds"), "edges")
+    asked = join_spread(kinds, edges, ["gram"], "kinds").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > hot).alias("hot"))
+    by_text = stored(asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "hot")).alias("asks")), "asked")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [], [], [])
@@ -232,12 +237,18 @@ def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: in
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], ["gram", "key", "at", "n", "hot", "left", "right"])
 
     # Repeated rows give a context twice; it has n > 1 then, and is marked as a whole already.
-    joined = texts.join(by_text, "key").select("key", "text", "asks")
+    joined = join_measured(texts, by_text, "key", "inner", F.size("asks") * 40 + 32).select("key", "text", "asks")
     contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, hot boolean, left binary, right binary"), "contexts")
     marks = whole.union(_group_spans(contexts.where("not hot"), window, gram))
-    if not asked.where("hot").isEmpty():
+    if not contexts.where("hot").isEmpty():
         marks = marks.union(_window_spans(contexts.where("hot"), window, gram))
-    return marks.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for s in own])] for own in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
+
+    gathered = marks.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return stored(map_batches(gathered, merge, "key long, spans array<struct<begin: int, end: int>>"), "spans")
 
 
 def _bounds(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -265,25 +276,25 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def deduplicate(docs: DataFrame, id_col: str, text_col: str, window: int = 200, gram: int = 100) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str, text_col: str, window: int = 200, gram: int = 100, with_text: bool = True) -> DataFrame:
     """Remove each byte covered by a `window`-byte string that also starts anywhere else, in the same text or another.
 
     Returns a row per document: the id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans
     (array<struct<begin, end>>) and kept_text (with whole characters only: where a span ends inside a character, that
-    character stays). Strings are judged on the input, and every occurrence is removed. A null text counts as empty;
+    character stays; null unless `with_text`). Strings are judged on the input, and every occurrence is removed. A null text counts as empty;
     texts shorter than `window` keep all. Ids are taken to be unique but for repeated rows, which repeat each other; a
     null id is allowed. An empty table gives no rows; other columns are not read.
     """
-    return apply_spans(docs, id_col, text_col, repeated_spans(keyed(docs, id_col, text_col), window, gram))
+    return apply_spans(docs, id_col, text_col, repeated_spans(keyed(docs, id_col, text_col), window, gram), with_text=with_text)
 
 
 def apply_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
-    """The rows of deduplicate() for given spans by key, with the columns named in `keep`."""
+    """The rows of deduplicate() for given stored spans by key, with the columns named in `keep`."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("key"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     carried = [f for f in rows.schema.fields if f.name.startswith("_keep_")]
-    joined = rows.join(spans, "key", "left").select("id", "text", "spans", *(f.name for f in carried))
+    joined = join_measured(rows, spans, "key", "left", F.size("spans") * 16 + 48).select("id", "text", "spans", *(f.name for f in carried))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [], [])

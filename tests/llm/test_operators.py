@@ -69,7 +69,7 @@ def test_suffix_dedup_hot_grams(spark):
     rows = [(i, prose(100 + i, 12) + " " + BASE[: 250 + i % 7] + prose(200 + i, 12)) for i in range(12)]
     texts = spark.createDataFrame(rows, "key bigint, text string")
     plain = {r["key"]: suffix_dedup.merged([tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeated_spans(texts).collect()}
-    hot = {r["key"]: suffix_dedup.merged([tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeated_spans(texts, hot=2, live_bytes=0).collect()}
+    hot = {r["key"]: suffix_dedup.merged([tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeated_spans(texts, hot=2).collect()}
     assert plain == hot and len(plain) == 12
 
 
@@ -287,7 +287,7 @@ def test_nearest(spark):
     index = ann.build(frame, "vec_id", "embedding", cell_rows=12)
     x = np.array([v for _, v in rows[:1200]])
     hits = 0
-    for r in ann.search(index, index.rows.where("id % 100 = 0").select("id", "v"), 10, least=400, block_rows=100, query_rows=5).collect():
+    for r in ann.search(index, index.rows.where("id % 100 = 0").select("id", "v"), 10, block_rows=100, query_rows=5).collect():
         d = np.sqrt(((x - x[r["query_id"]]) ** 2).sum(1))
         assert r["score"] == d[r["vec_id"]] and r["vec_id"] != r["query_id"]
         d[r["query_id"]] = np.inf
