@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,17 +86,24 @@ def title_case(c: Column) -> Column:
     return F.when(words == "", c).otherwise(F.initcap(words))
 
 
-_SERIES = r"(?i)^(.*?)[_\- ]+(?:s|season)[_\- ]?(\d{1,9})(?:[_\- ]?d\d+)?$"
+#: The first season mark that ends a label; `season`, but not `s`, may stand apart from its number.
+_SERIES = r"(?iUs)^(.*?)[_\- ](?:s|season[_\- ]?)(\d{1,2})(?:[_\- ]?d\d+)?\s*$"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def series_title(c: Column) -> Column:
     """the label's title without its season mark."""
-    return F.when(c.rlike(_SERIES), title_case(F.regexp_extract(c, _SERIES, 1))).otherwise(title_case(c))
+    label = _trimmed(c)
+    return F.when(label.rlike(_SERIES), title_case(F.rtrim(F.regexp_extract(label, _SERIES, 1), F.lit("_- ")))).otherwise(title_case(label))
 
 
 def series_season(c: Column) -> Column:
     """the season in the label, if any."""
-    return F.when(c.rlike(_SERIES), F.regexp_extract(c, _SERIES, 2).cast("int"))
+    label = _trimmed(c)
+    return F.when(label.rlike(_SERIES), F.regexp_extract(label, _SERIES, 2).try_cast("int"))
 
 
 def sanitise_dir(c: Column) -> Column:
@@ -113,20 +122,30 @@ def cover_url(c: Column, host: str) -> Column:
     return F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit(host.rstrip("/") + "/"), F.regexp_replace(t, "^/+", "")))
 
 
+_ESCAPED, _OCTAL = re.compile(r"%(.)(.)|%.?$", re.S), re.compile(r"\\(.)(.)(.)", re.S)
+
+
+def _of_percent(m: re.Match) -> str:
+    if m[2] is None:
+        return "%"
+    return chr(int(m[1] + m[2], 16)) if re.fullmatch("[0-9A-Fa-f+][0-9A-Fa-f]", m[1] + m[2]) else m[0]
+
+
+def _of_octal(m: re.Match) -> str:
+    return chr(int(m[0][1:], 8)) if re.fullmatch("[0-7]{3}", m[0][1:]) else m[0]
+
+
 @F.pandas_udf(StringType())
 def percent_decode(texts: pd.Series) -> pd.Series:
-    """each valid %XX becomes the character of that number; others stay."""
-    import re
-
-    return texts.map(lambda t: None if t is None else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t))
+    """a percent sign and the two characters after it become the character of that hex number, or stay as they are
+    if they are none; at the end, a percent sign swallows a single character."""
+    return texts.map(lambda t: None if t is None else _ESCAPED.sub(_of_percent, t))
 
 
 @F.pandas_udf(StringType())
 def octal_unescape(texts: pd.Series) -> pd.Series:
-    r"""F16: \NNN in mount tables."""
-    import re
-
-    return texts.map(lambda t: None if t is None else re.sub(r"\\([0-3][0-7]{2})", lambda m: chr(int(m[1], 8)), t))
+    r"""F16: \NNN in mount tables; a backslash and the three characters after it stay if they are no octal number."""
+    return texts.map(lambda t: None if t is None else _OCTAL.sub(_of_octal, t))
 
 
 def epoch_iso(c: Column) -> Column:
@@ -151,5 +170,5 @@ def xml_escape(c: Column) -> Column:
 
 
 def valid_year(c: Column, low: int = 1, high: int = 2**31 - 1) -> Column:
-    """P15."""
+    """Any year after 0 in the catalogue; 1900 to 2100 in what a user submits."""
     return F.when(c.between(low, high), c)

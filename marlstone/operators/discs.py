@@ -17,16 +17,20 @@ def content_hash(files: DataFrame, keys: list[str], order: Column, size: str) ->
 
 
 def hash_index(discs: DataFrame, hash_col: str, path: str) -> DataFrame:
-    """Upper-case hash -> sorted paths; blank hashes have no entry."""
-    rows = discs.where(F.trim(hash_col) != "").withColumn("hash_key", F.upper(hash_col))
-    return rows.groupBy("hash_key").agg(F.array_sort(F.collect_list(path)).alias("paths"))
+    """A row for each upper-case hash and path; blank hashes have none."""
+    return discs.where(F.trim(hash_col) != "").select(F.upper(hash_col).alias("hash_key"), F.col(path).alias("path"))
 
 
 def lookup(scans: DataFrame, index: DataFrame, hash_col: str) -> DataFrame:
-    """Every scan with the index's entry, if any. Spark broadcasts the index if its size allows."""
+    """Every scan with each path of its hash, or null if there is none. Spark broadcasts the index if its size allows."""
     return scans.withColumn("hash_key", F.upper(hash_col)).join(index, "hash_key", "left")
 
 
+def hash_matches(index: DataFrame) -> DataFrame:
+    """How many paths a hash has and the first of them: what a lookup needs to know without having them all."""
+    return index.groupBy("hash_key").agg(F.count("*").alias("discs"), F.min("path").alias("first_path"))
+
+
 def title_relations(titles: DataFrame, group: str, title: str, segments: str) -> DataFrame:
     """Kind (composite, constituent, atomic), constituents and containers of each title.
 
@@ -80,8 +84,17 @@ def feature_playlists(items: DataFrame, disc: str, playlist: str, length: Column
     return lists.withColumn("_rank", first).where("_rank = 1").drop("_rank", "whole")
 
 
-def tolerance_match(features: DataFrame, titles: DataFrame, on: str, want: str, have: str, order: str, out: list[str], tolerance: Column) -> DataFrame:
-    """The first title of the group, in queue order, whose length differs by no more than the tolerance."""
-    both = features.join(titles, on).where(F.abs(F.col(want) - F.col(have)) <= tolerance)
-    first = F.row_number().over(Window.partitionBy(*out).orderBy(order))
-    return both.withColumn("_rank", first).where("_rank = 1").drop("_rank")
+def tolerance_match(features: DataFrame, titles: DataFrame, on: str, want: str, have: str, order: str, out: list[str], tolerance: Column, band: float) -> DataFrame:
+    """The first title of the group, in queue order, whose length differs by no more than the tolerance; `out` are the
+    keys of a feature, and the other columns of titles come along.
+
+    Lengths are dealt to bands of width `band`: a title lies in one, a feature asks in each that its tolerance reaches, so
+    a feature meets only titles of about its length, by an equi-join. The first is found with map-side combine. Choose
+    band of the size of the tolerance: a feature asks 2 * tolerance / band + 1 times.
+    """
+    at = lambda c: F.floor(c / F.lit(band)).cast("bigint")
+    asked = features.select("*", tolerance.alias("_tolerance")).withColumn("_band", F.explode(F.sequence(at(F.col(want) - F.col("_tolerance")), at(F.col(want) + F.col("_tolerance")))))
+    both = asked.join(titles.withColumn("_band", at(F.col(have))), [on, "_band"]).where(F.abs(F.col(want) - F.col(have)) <= F.col("_tolerance"))
+    rest = [c for c in both.columns if c not in (*out, "_band", "_tolerance")]
+    best = both.groupBy(*out).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return best.select(*out, *(F.col("_first")[c].alias(c) for c in rest))

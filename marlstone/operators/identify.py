@@ -69,8 +69,19 @@ def rip_role(override: Column, identity: Column, is_main: Column) -> Column:
     return F.coalesce(override, identity, F.when(is_main, "Main").otherwise("Other"))
 
 
+def rip_display(override: Column, identity: Column, name: Column) -> Column:
+    """An override that is not blank, as it was typed, else the identity's or the scan's name unless empty, else null."""
+    typed = F.when(F.trim(override) != "", override)
+    return F.coalesce(typed, F.nullif(identity, F.lit("")), F.nullif(name, F.lit("")))
+
+
+def rip_label(index: Column, display: Column) -> Column:
+    """Title n, with what rip_display found."""
+    return F.concat(F.lit("Title "), index.cast("string"), F.coalesce(F.concat(F.lit(" — "), display), F.lit("")))
+
+
 def display_title(override: Column, identity: Column, name: Column, index: Column) -> Column:
-    """Blank values give way."""
+    """The override trimmed; blank values give way."""
     return F.coalesce(nonempty(override), F.nullif(identity, F.lit("")), F.nullif(name, F.lit("")), F.concat(F.lit("Title "), index.cast("string")))
 
 
@@ -138,12 +149,23 @@ def lookup_status(content_hash: Column, local_hits: Column, remote_error: Column
 def resolve_output(expected: DataFrame, files: DataFrame, folder: str, want: str, path: str, mtime: str) -> DataFrame:
     """A10: the expected file of each folder, else its newest .mkv (of equally new ones the smallest path), else null.
 
-    One partial aggregation per folder over the joined listing; no folder's files are collected.
+    The listing meets the wishes by folder, and one aggregation with map-side combine, on that partitioning, decides; no
+    folder's files are sorted or collected. mtime is a time, a date or a number of seconds.
     """
-    seen = expected.select(folder, want).join(files.select(folder, path, mtime), folder, "left")
-    newest = F.max_by(F.when(F.col(path).endswith(".mkv"), F.col(path)), F.when(F.col(path).endswith(".mkv"), F.col("_rank")))
-    ranked = seen.withColumn("_rank", F.struct(F.col(mtime), F.row_number().over(Window.partitionBy(folder, want).orderBy(F.col(path).desc()))))
-    return ranked.groupBy(folder, want).agg(F.when(F.bool_or(F.col(path) == F.col(want)), F.col(want)).otherwise(newest).alias("output"))
+    seen = expected.select(folder, want).join(files.select(folder, F.col(path).alias("_path"), (-F.col(mtime).cast("timestamp").cast("double")).alias("_age")), folder, "left")
+    mkv = F.col("_path").endswith(".mkv")
+    newest = F.min_by(F.when(mkv, F.col("_path")), F.when(mkv, F.struct(F.coalesce("_age", F.lit(float("inf"))).alias("a"), F.col("_path").alias("p"))))
+    return seen.groupBy(folder, want).agg(F.when(F.bool_or(F.col("_path") == F.col(want)), F.col(want)).otherwise(newest).alias("output"))
+
+
+def success_summary(done: Column, failed: Column) -> Column:
+    """struct<title, subtitle> of a finished queue."""
+    n = lambda c: c.cast("string")
+    total = n(done + failed)
+    title = F.when(failed == 0, "All titles done").when(done == 0, "Rip failed").otherwise(F.concat(F.lit("Finished with "), n(failed), F.lit(" failure(s)")))
+    some = F.concat(n(done), F.lit(" succeeded, "), n(failed), F.lit(" failed of "), total)
+    none = F.concat(n(failed), F.lit(" of "), total, F.lit(" titles failed — see queue rows for details"))
+    return F.struct(title.alias("title"), F.when(failed == 0, F.concat(n(done), F.lit(" succeeded"))).when(done == 0, none).otherwise(some).alias("subtitle"))
 
 
 def byte_progress(chunks: DataFrame, job: list[str], order: list, size: str, total: Column, seconds: Column, step: int = 32 << 20) -> DataFrame:

@@ -49,9 +49,8 @@ i AS (SELECT k, count(*) AS discs, min(l_orderkey) AS first_disc FROM h GROUP BY
 SELECT l_orderkey, discs, first_disc FROM h JOIN i USING (k)""")
 def hash_index_lookup(spark, sf_dir):
     orders = _hashed_orders(spark, sf_dir)
-    index = discs.hash_index(orders, "content_hash", "l_orderkey")
-    found = discs.lookup(orders, index, "content_hash")
-    return found.select("l_orderkey", F.size("paths").cast("bigint").alias("discs"), F.get("paths", F.lit(0)).alias("first_disc"))
+    index = discs.hash_matches(discs.hash_index(orders, "content_hash", "l_orderkey"))
+    return discs.lookup(orders, index, "content_hash").select("l_orderkey", "discs", F.col("first_path").alias("first_disc"))
 
 
 @_query("""WITH b AS (SELECT DISTINCT o_custkey, o_orderkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
@@ -108,11 +107,20 @@ def format_duration(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.format_duration(n).alias("duration"), text.format_duration_full(n).alias("full_duration"))
 
 
-@_query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS seconds FROM documents""")
+_DURATIONS = ("{a}:{b}:{c}", "{a}:{b}", "{a}", "+{a}:0{b}:{c}", "{a}:{b}:{c}:{d}", " {a}:{b}", "{a}::{b}", "{a}:-{b}", "x{a}", "", "{a}.5")
+
+
+@_query("""WITH t AS (SELECT doc_id, CAST(n_chars % 5 AS VARCHAR) AS a, CAST(n_chars % 97 AS VARCHAR) AS b, CAST(doc_id % 61 AS VARCHAR) AS c FROM documents),
+l AS (SELECT doc_id, [a||':'||b||':'||c, a||':'||b, a, '+'||a||':0'||b||':'||c, a||':'||b||':'||c||':1', ' '||a||':'||b, a||'::'||b, a||':-'||b, 'x'||a, '', a||'.5'][doc_id % 11 + 1] AS s FROM t),
+p AS (SELECT doc_id, s, string_split(s, ':') AS p FROM l) SELECT doc_id, s AS label, CASE WHEN NOT regexp_full_match(s, '\\+?[0-9]+(:\\+?[0-9]+){0,2}') THEN NULL
+WHEN len(p) = 3 THEN CAST(p[1] AS BIGINT) * 3600 + CAST(p[2] AS BIGINT) * 60 + CAST(p[3] AS BIGINT) WHEN len(p) = 2 THEN CAST(p[1] AS BIGINT) * 60 + CAST(p[2] AS BIGINT) ELSE CAST(p[1] AS BIGINT) END AS seconds FROM p""")
 def parse_duration(spark, sf_dir):
-    shown = text.format_duration_full(F.col("n_chars"))
-    label = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), shown)).otherwise(shown)
-    return _t(spark, sf_dir, "documents").select("doc_id", text.parse_duration(label).alias("seconds"))
+    a, b, c = ((F.col(x) % m).cast("string") for x, m in (("n_chars", 5), ("n_chars", 97), ("doc_id", 61)))
+    shapes = [F.lit(x) for x in _DURATIONS]
+    label = F.element_at(F.array(*shapes), (F.col("doc_id") % 11 + 1).cast("int"))
+    for key, value in (("{a}", a), ("{b}", b), ("{c}", c), ("{d}", F.lit("1"))):
+        label = F.replace(label, F.lit(key), value)
+    return _t(spark, sf_dir, "documents").select("doc_id", label.alias("label")).select("doc_id", "label", text.parse_duration(F.col("label")).alias("seconds"))
 
 
 @_query("""WITH f AS (SELECT * FROM events WHERE event_type = 'purchase'), m AS (SELECT f.event_id AS feature, t.event_id AS match, row_number() OVER (PARTITION BY f.event_id ORDER BY t.event_id) AS r FROM f JOIN events t ON t.user_id = f.user_id
@@ -121,7 +129,7 @@ def tolerance_match(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     features = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("feature"), F.col("value").alias("want"))
     titles = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("match"), F.col("value").alias("have"))
-    found = discs.tolerance_match(features, titles, "user_id", "want", "have", "match", ["feature"], F.greatest(F.col("want") / 20, F.lit(0.5)))
+    found = discs.tolerance_match(features, titles, "user_id", "want", "have", "match", ["feature"], F.greatest(F.col("want") / 20, F.lit(0.5)), 8.0)
     return found.select("feature", "match")
 
 
@@ -207,31 +215,41 @@ def _register_paths() -> None:
 
         QUERIES[f"path_{scheme}"], QUERIES[f"episode_path_{scheme}"] = movies, episodes
         ORACLES[f"path_{scheme}"] = _PATH_SQL.replace("{tag}", _MOVIE_TAGS[scheme]).replace("{path}", "'/lib/Movies/' || t || y || tag || '/' || t || y || tag || v || '.mkv'").replace("{{", "{").replace("}}", "}")
-        folder = "t" if scheme == "kodi" else "t"
-        ORACLES[f"episode_path_{scheme}"] = _PATH_SQL.replace("{tag}", _EPISODE_TAGS[scheme]).replace("{path}", f"'/lib/Shows/' || {folder} || y || tag || {_SEASON} || {_EPISODE_FILES[scheme]} || '.mkv'").replace("{{", "{").replace("}}", "}")
+        ORACLES[f"episode_path_{scheme}"] = _PATH_SQL.replace("{tag}", _EPISODE_TAGS[scheme]).replace("{path}", f"'/lib/Shows/' || t || y || tag || {_SEASON} || {_EPISODE_FILES[scheme]} || '.mkv'").replace("{{", "{").replace("}}", "}")
 
 
 _register_paths()
 
 
-@_query("SELECT p_partkey, p_name AS sorted FROM part")
+_ARTICLES = ("The ", "a ", "AN ", "", "The", "the the ", " an ", "A  ", "Theo ", "Ana ")
+
+
+@_query("""WITH n AS (SELECT p_partkey, ['The ', 'a ', 'AN ', '', 'The', 'the the ', ' an ', 'A  ', 'Theo ', 'Ana '][p_partkey % 10 + 1] || p_name || ' ' AS n FROM part)
+SELECT p_partkey, n AS name, CASE WHEN lower(trim(n)) LIKE 'the %' THEN substr(trim(n), 5) WHEN lower(trim(n)) LIKE 'an %' THEN substr(trim(n), 4) WHEN lower(trim(n)) LIKE 'a %' THEN substr(trim(n), 3) ELSE trim(n) END AS sorted FROM n""")
 def sort_title(spark, sf_dir):
-    article = F.element_at(F.array(F.lit("The "), F.lit("a "), F.lit("AN "), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return _t(spark, sf_dir, "part").select("p_partkey", text.sort_title(F.concat(F.lit(" "), article, "p_name")).alias("sorted"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, _ARTICLES)), (F.col("p_partkey") % 10 + 1).cast("int")), "p_name", F.lit(" "))
+    return _t(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", text.sort_title(F.col("name")).alias("sorted"))
 
 
-@_query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS series, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS season FROM part""")
+#: Ends of labels, each with the season that it gives; those without one belong to the title.
+_SEASON_MARKS = (("_S1D1", 1), ("-s02d03", 2), (" season 7", 7), ("_SEASON_4", 4), (" s12 ", 12), ("_S_1", None), (" S 4", None), ("_S2001", None), ("S3", None), ("__s5-d12", 5), (" Season", None), ("_s1x", None), ("_S1_S2", 2))
+
+
+@_query("""WITH l AS (SELECT p_partkey, upper(replace(p_name, ' ', '_')) AS base, [""" + ", ".join(f"'{m}'" for m, _ in _SEASON_MARKS) + """][p_partkey % 13 + 1] AS mark, [""" + ", ".join("NULL" if s is None else str(s) for _, s in _SEASON_MARKS) + """][p_partkey % 13 + 1] AS season FROM part),
+t AS (SELECT *, CASE WHEN season IS NULL THEN base || mark WHEN mark = '_S1_S2' THEN base || '_S1' ELSE base END AS shown FROM l)
+SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(translate(shown, '_-', '  '), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS series, CAST(season AS INT) AS season FROM t""")
 def series_label(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    mark = F.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("_S"), size, F.lit("D1"))).when(F.col("p_partkey") % 3 == 2, F.concat(F.lit(" season"), size)).otherwise("")
+    mark = F.element_at(F.array(*(F.lit(m) for m, _ in _SEASON_MARKS)), (F.col("p_partkey") % 13 + 1).cast("int"))
     label = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))), mark)
     return _t(spark, sf_dir, "part").select("p_partkey", text.series_title(label).alias("series"), text.series_season(label).alias("season"))
 
 
-@_query("SELECT p_partkey, p_partkey % 2 = 0 AS is_3d FROM part")
+@_query("""WITH l AS (SELECT p_partkey, p_name || ['.3D[x]', '.3Dx', ' 3d', '(3D)', '_3D_', '3D', '-3-D', '.x3d.'][p_partkey % 8 + 1] AS l FROM part)
+SELECT p_partkey, l AS label, len(list_filter(string_split_regex(lower(l), '[ ._\\-\\[\\]()]'), lambda w: w = '3d')) > 0 AS is_3d FROM l""")
 def has_3d_token(spark, sf_dir):
-    label = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(".3D[x]")).otherwise(F.lit(".3Dx")))
-    return _t(spark, sf_dir, "part").select("p_partkey", text.has_3d_token(label).alias("is_3d"))
+    ends = F.array(*(F.lit(x) for x in (".3D[x]", ".3Dx", " 3d", "(3D)", "_3D_", "3D", "-3-D", ".x3d.")))
+    label = F.concat("p_name", F.element_at(ends, (F.col("p_partkey") % 8 + 1).cast("int")))
+    return _t(spark, sf_dir, "part").select("p_partkey", label.alias("label")).select("p_partkey", "label", text.has_3d_token(F.col("label")).alias("is_3d"))
 
 
 @_query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS label FROM part""")
@@ -272,12 +290,12 @@ def disc_type(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(kind.alias("disc_type"))
 
 
-@_query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed, CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'F') = 0 THEN 'All ' || count(*) || ' done'
-ELSE count(*) FILTER (WHERE o_orderstatus = 'F') || ' done, ' || count(*) FILTER (WHERE o_orderstatus <> 'F') || ' failed' END AS summary FROM orders GROUP BY o_custkey""")
+@_query("""WITH n AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders GROUP BY o_custkey) SELECT *,
+CASE WHEN failed = 0 THEN 'All titles done' WHEN done = 0 THEN 'Rip failed' ELSE 'Finished with ' || failed || ' failure(s)' END AS title,
+CASE WHEN failed = 0 THEN done || ' succeeded' WHEN done = 0 THEN failed || ' of ' || failed || ' titles failed — see queue rows for details' ELSE done || ' succeeded, ' || failed || ' failed of ' || (done + failed) END AS subtitle FROM n""")
 def success_summary(spark, sf_dir):
-    done, failed = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus") != "F")
-    said = F.when(failed == 0, F.concat(F.lit("All "), done.cast("string"), F.lit(" done"))).otherwise(F.concat(done.cast("string"), F.lit(" done, "), failed.cast("string"), F.lit(" failed")))
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(done.alias("done"), failed.alias("failed"), said.alias("summary"))
+    counts = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") != "F").alias("failed"))
+    return counts.select("*", identify.success_summary(F.col("done"), F.col("failed")).alias("s")).select("o_custkey", "done", "failed", "s.title", "s.subtitle")
 
 
 _BACKENDS, _PRESETS = ("software", "nvenc", "qsv", "vaapi", "amf", "v4l2m2m"), ("higher", "balanced", "smaller")
@@ -434,11 +452,20 @@ def _register_extras() -> None:
 _register_extras()
 
 
-@_query(None)
+@_query("""SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS disc, 'bluray' AS format, count(*) AS titles, count(*) FILTER (WHERE l_returnflag <> 'N') AS items, CAST(sum(l_quantity::BIGINT) AS BIGINT) AS size,
+string_agg(l_linenumber::VARCHAR || ':' || coalesce(nullif(l_returnflag, 'N'), '-'), ' ' ORDER BY l_linenumber, l_partkey, l_quantity) AS shown FROM lineitem GROUP BY l_orderkey""")
 def render_json(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem")
     title = F.struct(F.col("l_linenumber").alias("Index"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Item"), F.col("l_quantity").cast("bigint").alias("Size"))
-    return sinks.disc_json(lines, ["l_orderkey"], {"Index": F.col("l_orderkey"), "Format": F.lit("bluray")}, title, F.struct("l_linenumber", "l_partkey"))
+    docs = sinks.disc_json(lines, ["l_orderkey"], {"Index": F.col("l_orderkey"), "Format": F.lit("bluray")}, title, F.struct("l_linenumber", "l_partkey", "l_quantity"))
+    doc = F.col("document")
+    keys = lambda t: F.json_object_keys(t)
+    back = docs.select("l_orderkey", doc, F.from_json(F.get_json_object(doc, "$.Titles"), "array<string>").alias("t"))
+    of = lambda t, name: F.get_json_object(t, f"$.{name}")
+    return back.select(
+        "l_orderkey", of(doc, "Index").alias("disc"), of(doc, "Format").alias("format"), F.size("t").cast("bigint").alias("titles"), F.size(F.filter("t", lambda t: F.array_contains(keys(t), "Item"))).cast("bigint").alias("items"),
+        F.aggregate("t", F.lit(0).cast("bigint"), lambda s, t: s + of(t, "Size").cast("bigint")).alias("size"), F.array_join(F.transform("t", lambda t: F.concat(of(t, "Index"), F.lit(":"), F.coalesce(of(t, "Item"), F.lit("-")))), " ").alias("shown"),
+    )
 
 
 @_query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate, o_orderkey) AS INT) AS display_rank FROM orders")
