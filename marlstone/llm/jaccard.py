@@ -255,9 +255,11 @@ def _crossed(buckets: DataFrame, info: DataFrame, formed: DataFrame, rows: DataF
     per = labelled.groupBy("mark", "component").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8 + 640).alias("bytes"))
     top = per.groupBy("mark").agg(F.max(F.struct("members", "bytes", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("members").alias("size"), F.sum("bytes").alias("bytes")).where("kinds > 1")
     parts = lambda members, size: F.ceil(F.greatest(members / F.lit(block), size / F.lit(block_bytes))).cast("int")
-    top = top.select("mark", "size", F.col("main.component").alias("main"), parts(F.col("size") - F.col("main.members"), F.col("bytes") - F.col("main.bytes")).alias("po"), parts(F.col("main.members"), F.col("main.bytes")).alias("pm"))
+    alone = (F.col("size") <= block) & (F.col("bytes") <= block_bytes)  # a bucket of one block needs no main component
+    po = F.when(alone, 1).otherwise(parts(F.col("size") - F.col("main.members"), F.col("bytes") - F.col("main.bytes")))
+    top = top.select("mark", "size", F.when(~alone, F.col("main.component")).alias("main"), po.alias("po"), F.when(alone, 0).otherwise(parts(F.col("main.members"), F.col("main.bytes"))).alias("pm"))
     dealt = join_spread(labelled, stored(top, "open"), ["mark"], "size").join(info.select("rep", "bits"), "rep")
-    own = F.col("component") == F.col("main")
+    own = F.col("component").eqNullSafe(F.col("main"))
     dealt = dealt.withColumn("block", F.when(own, F.col("po") + F.pmod(F.xxhash64("rep"), F.col("pm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("po"))).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(own, F.col("po")).otherwise(F.col("po") + F.col("pm")) - 1))).withColumns({"i": F.least("block", "with").cast("int"), "j": F.greatest("block", "with").cast("int")})
     dealt = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits")

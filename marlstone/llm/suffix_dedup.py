@@ -1,8 +1,8 @@
 """Substring deduplication: suffix arrays over the contexts of repeated anchors, and counts of whole contexts.
 
-Strings are told apart by hashes in two places, else by bytes. Contexts of equal grams that have equal 64-bit hashes
-count as equal: for a gram with k different contexts the odds of a wrong pair are about k^2 / 2^65. Strings of a gram
-with very many contexts are told apart by two such hashes together, with odds of about k^2 / 2^129.
+Strings are told apart by 64-bit hashes in two places, else by bytes: grams, and whole contexts of equal grams. For a
+gram with k different contexts the odds that two of them are taken for equal are about k^2 / 2^65; two contexts of
+different grams are taken for equal only if both hashes are.
 """
 
 from __future__ import annotations
@@ -17,12 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find
-from .common import fits, join_measured, join_spread, map_batches, stored
+from .common import fits, join_spread, map_batches, stored
 from .gsaca import suffix_array
 
-_WIDE = np.random.default_rng(21).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key long (the id; a hash of the text for a null id) and text (null: empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -173,41 +170,65 @@ def _group_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, begin int, end int")
 
 
-def _window_spans(contexts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same for grams with very many contexts: every string of `window` bytes is counted by its gram and the hash of the rest."""
+def _narrowed(contexts: DataFrame, margin: int, step: int) -> DataFrame:
+    """The contexts of too large groups under longer grams: with the next `step` bytes on the left, and on the right.
+
+    A string that holds the gram has `step` more bytes of it on one side at least, if step is half the margin. What the
+    other side then can't hold of it is cut off; a context without room for a string is dropped.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        margin, cols = window - gram, ([], [], [], [], [])
-        for name, key, at, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-            l_hash, r_hash = [], []
-            for side, out in ((left, l_hash), (right, r_hash)):
-                data = np.frombuffer(side, np.uint8).astype(np.uint64) + np.uint64(1)
-                for base in _WIDE:
-                    powers = np.multiply.accumulate(np.full(len(data) + 1, base, np.uint64))
-                    out.append(np.r_[np.uint64(0), np.cumsum(data * data * powers[:-1] + data * powers[1:])])
-            s = np.arange(max(0, margin - len(right)), min(margin, len(left)) + 1)
-            salt = s.astype(np.uint64)
-            hashes = [(a[s] * base ^ (a[s] >> np.uint64(29))) + b[margin - s] * np.uint64(0x9E3779B97F4A7C15) + salt * base for a, b, base in zip(l_hash, r_hash, _WIDE[::-1])]
-            for c, v in zip(cols, (np.full(len(s), name), hashes[0].view(np.int64), hashes[1].view(np.int64), np.full(len(s), key), at - s)):
-                c.append(v)
-        arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays[:4]] + [pa.array(arrays[4].astype(np.int32))], ["gram", "w", "v", "key", "begin"])
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
+        for gram, key, at, n, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            for side, own, rest in ((0, left, right), (1, right, left)):
+                if len(own) < step or len(own) - step + min(len(rest), margin - step) < margin - step:
+                    continue
+                name = hashlib.blake2b(gram.to_bytes(8, "little", signed=True) + bytes([side]) + own[:step], digest_size=8).digest()
+                sides = (own[step:], rest[: margin - step]) if side == 0 else (rest[: margin - step], own[step:])
+                for c, v in zip(cols, (int.from_bytes(name, "little", signed=True), key, at - step if side == 0 else at, n, *sides)):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["gram", "key", "at", "n", "left", "right"])
+
+    return map_batches(contexts.select("gram", "key", "at", "n", "left", "right"), run, "gram long, key long, at int, n int, left binary, right binary")
 
-    windows = map_batches(contexts.select("gram", "key", "at", "left", "right"), run, "gram long, w long, v long, key long, begin int")
-    again = stored(windows.groupBy("gram", "w", "v").agg(F.count("*").alias("times")).where("times > 1"), "strings")
-    return join_spread(windows, again, ["gram", "w", "v"], "times").select("key", "begin", (F.col("begin") + window).alias("end"))
 
+def _edge_spans(contexts: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """key, begin, end of the repeated spans around the contexts that occur once (gram, key, at, n, left, right; stored).
 
-def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 4096) -> DataFrame:
+    Groups of at most `hot` contexts go to suffix arrays. Those of larger ones are grouped again by longer grams, each
+    time by half of what is missing to a whole string; equal ones are counted and meet as one. In the end a gram is a
+    whole string, and all its contexts are equal.
+    """
+    marks: DataFrame | None = None
+    while True:
+        margin = window - gram
+        sizes = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1")
+        sizes = stored(sizes.select("gram", "kinds"), "sizes")
+        found = stored(_group_spans(contexts.join(sizes.where(F.col("kinds") <= hot), "gram"), window, gram), "edges")
+        marks = found if marks is None else marks.union(found)
+        large = sizes.where(F.col("kinds") > hot)
+        if large.isEmpty():
+            return marks
+        step = -(-margin // 2)
+        gram += step
+        rows = stored(_narrowed(join_spread(contexts, large, ["gram"], "kinds"), margin, step), "narrowed")
+        same = ["gram", "left", "right"]
+        kinds = stored(rows.groupBy(*same).agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("rows")), "kinds")
+        again = join_spread(rows.where("n = 1").drop("n"), kinds.where("n > 1").select(*same, "rows"), same, "rows")
+        marks = marks.union(again.select("key", (F.col("at") - F.length("left")).alias("begin"), (F.col("at") + gram + F.length("right")).alias("end")))
+        contexts = stored(kinds.select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), "left", "right"), "contexts")
+
+
+def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 1024) -> DataFrame:
     """key and spans array<struct<begin, end>> (bytes; disjoint, in order, begin may be below 0) that cover all repeated strings.
 
     texts has key long and text. Each string of `window` bytes holds an anchor chosen by content, so repeated strings
     share an anchor's gram. Grams are counted; occurrences of those that come again are kept. A whole context that comes
     again is repeated without further work. Contexts of repeated grams that occur once, the edges of what is repeated,
     meet one example of each other context of their gram, and suffix arrays tell what they share. Counts are
-    pre-aggregated, so only different contexts of a gram meet; a gram with more than `hot` of them is done by counting
-    its strings instead, which spreads over tasks. Grams, contexts and strings that come very often are joined without
-    moving their rows. What one text's rows gather grows with the length of that text alone.
+    pre-aggregated, so only different contexts of a gram meet; a gram with more than `hot` of them is made longer, which
+    parts them into smaller groups. Grams and contexts that come very often are joined without moving their rows. What one text's rows gather grows with the length of that text alone.
     """
     spark = texts.sparkSession
     grams = _occurrences(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
@@ -222,26 +243,24 @@ def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: in
     whole = join_spread(again, kinds.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n")
     whole = whole.select("key", (F.col("at") - (window - gram)).alias("begin"), (F.col("at") + window).alias("end"))
     edges = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds"), "edges")
-    asked = join_spread(kinds, edges, ["gram"], "kinds").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > hot).alias("hot"))
-    by_text = stored(asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "hot")).alias("asks")), "asked")
+    asked = join_spread(kinds, edges, ["gram"], "kinds").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"))
+    by_text = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n")).alias("asks"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
         for key, text, asks in zip(*(c.to_pylist() for c in batch.columns)):
             data = text.encode()
             for a in asks:
                 at = a["at"]
-                for c, v in zip(cols, (a["gram"], key, at, a["n"], a["hot"], data[max(0, at - window + gram) : at][::-1], data[at + gram : at + window])):
+                for c, v in zip(cols, (a["gram"], key, at, a["n"], data[max(0, at - window + gram) : at][::-1], data[at + gram : at + window])):
                     c.append(v)
-        kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], ["gram", "key", "at", "n", "hot", "left", "right"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["gram", "key", "at", "n", "left", "right"])
 
     # Repeated rows give a context twice; it has n > 1 then, and is marked as a whole already.
-    joined = join_measured(texts, by_text, "key", "inner", F.size("asks") * 40 + 32).select("key", "text", "asks")
-    contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, hot boolean, left binary, right binary"), "contexts")
-    marks = whole.union(_group_spans(contexts.where("not hot"), window, gram))
-    if not contexts.where("hot").isEmpty():
-        marks = marks.union(_window_spans(contexts.where("hot"), window, gram))
+    joined = texts.join(by_text, "key").select("key", "text", "asks")
+    contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, left binary, right binary"), "contexts")
+    marks = whole.union(_edge_spans(contexts, window, gram, hot))
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for s in own])] for own in batch.column(1).to_pylist()]
@@ -294,7 +313,7 @@ def apply_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, k
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("key"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     carried = [f for f in rows.schema.fields if f.name.startswith("_keep_")]
-    joined = join_measured(rows, spans, "key", "left", F.size("spans") * 16 + 48).select("id", "text", "spans", *(f.name for f in carried))
+    joined = rows.join(spans, "key", "left").select("id", "text", "spans", *(f.name for f in carried))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
