@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_3d_token, sanitise
+from .text import has_3d_token, sanitise, sanitise_dir
 
 
 def _tag(pairs: list[tuple[str, Column]], opening: str, closing: str) -> Column:
@@ -86,6 +86,7 @@ def converted_path(stem: Column, slug: Column) -> Column:
 
 
 def staging_path(kind: Column, title: Column, year: Column, release: Column, index: Column) -> Column:
-    """The disc's number is 1 at least."""
+    """The disc's number is 1 at least; of the title only slashes are replaced."""
     folder = F.when(kind == "Series", "series").otherwise("movie")
-    return F.concat(F.lit("data/"), folder, F.lit("/"), F.translate(_dated(title, year), "/\\", "__"), F.lit("/"), release, F.format_string("/disc%02d.json", F.greatest(index, F.lit(1))))
+    named = F.concat(title, F.coalesce(F.concat(F.lit(" ("), year.cast("string"), F.lit(")")), F.lit("")))
+    return F.concat(F.lit("data/"), folder, F.lit("/"), sanitise_dir(named), F.lit("/"), sanitise_dir(release), F.format_string("/disc%02d.json", F.greatest(index, F.lit(1))))

@@ -97,6 +97,28 @@ def stream_kind(label: Column) -> Column:
     return F.when(label == "Audio", "Audio").when(label.isin("Subtitle", "Subtitles"), "Subtitle").otherwise("Video")
 
 
+#: What stream_fingerprint makes, as a list.
+STREAMS = "array<struct<index: bigint, kind: string, codec: string, language_code: string, channels: int, title: string>>"
+
+
+def title_fingerprint(index: Column, seconds: Column, size: Column, source_file: Column, segment_map: Column, chapters: Column, streams: Column) -> Column:
+    """A title with 0 and empty texts for what the scan leaves out; streams are those of stream_fingerprint."""
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(
+        index.alias("index"), number(seconds).alias("duration_seconds"), number(size).alias("size_bytes"), text(source_file).alias("source_file"), text(segment_map).alias("segment_map"), number(chapters).alias("chapter_count"),
+        F.coalesce(streams, F.array().cast(STREAMS)).alias("streams"),
+    )
+
+
+def stream_fingerprint(index: Column, kind: Column, codec: Column, language_code: Column, channels: Column, title: Column) -> Column:
+    """A stream with its kind, Video for unknown ones, an empty codec for none and at most 255 channels."""
+    return F.struct(
+        index.cast("bigint").alias("index"), stream_kind(kind).alias("kind"), F.coalesce(codec, F.lit("")).alias("codec"), language_code.alias("language_code"),
+        F.when(channels.isNotNull(), F.least(channels, F.lit(255))).cast("int").alias("channels"), title.alias("title"),
+    )
+
+
 def has_mvc_exact(streams: Column) -> Column:
     """P5: like has_mvc in this case only; what disc typing asks."""
     return F.exists(streams, lambda s: F.contains(F.concat_ws(" ", s["codec_short"], s["codec_long"]), F.lit("MVC")))

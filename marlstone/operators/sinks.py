@@ -1,15 +1,18 @@
-"""Catalogue documents (survey K1-K3, K6, W7, P11, F22)."""
+"""Catalogue documents (survey K1-K4, K6, W7, P11, F22)."""
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import sort_title, title_slug
+from ..functions.naming import staging_path
+from ..functions.text import sanitise_dir, sort_title, title_slug
 
 
 def kept_chapters(chapters: Column) -> Column:
@@ -30,10 +33,51 @@ def disc_json(df: DataFrame, keys: list[str], fields: dict[str, Column], titles:
 
 
 def write_documents(docs: DataFrame, path: str, kind: str) -> None:
-    """Documents as a table partitioned by kind, a row each. The staged tree of files (K4) and the persisted hash index (K5) are not built."""
+    """Documents as a table partitioned by kind, a row each; staged_files and write_tree make a tree of files."""
     docs.write.mode("overwrite").partitionBy(kind).parquet(path)
 
 
+def staged_files(records: DataFrame) -> DataFrame:
+    """K4: path (from the tree's root) and content (binary) of the files of each record.
+
+    records: kind, title, year, release, index, and as text or bytes metadata, release_record, disc, and cover, answer and
+    front, which may be null. A title's folder holds metadata.json, cover.jpg and tmdb.json; its release's folder
+    release.json, front.jpg and the disc's own file. Files without content are left out.
+    """
+    disc = staging_path(F.col("kind"), F.col("title"), F.col("year"), sanitise_dir(F.col("release")), F.col("index"))
+    release = F.regexp_replace(disc, "/[^/]*$", "")
+    title = F.regexp_replace(release, "/[^/]*$", "")
+    under = lambda folder, name: F.concat(folder, F.lit(f"/{name}"))
+    files = [
+        (under(title, "metadata.json"), "metadata"), (under(title, "cover.jpg"), "cover"), (under(title, "tmdb.json"), "answer"),
+        (under(release, "release.json"), "release_record"), (under(release, "front.jpg"), "front"), (disc, "disc"),
+    ]
+    rows = records.select(F.explode(F.array(*(F.struct(p.alias("path"), F.col(c).cast("binary").alias("content")) for p, c in files))).alias("f"))
+    return rows.select("f.path", "f.content").where("content is not null")
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """K4: write each file (path, content) under root, a folder or URI that all executors reach.
+
+    Each file is written by one task, as a whole and under a name of its own until it is complete, so a task that runs
+    again does no harm. Files of equal paths, as of a title with several discs, are taken to be equal: one is written.
+    """
+
+    def put(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for row in rows:
+            path = f"{base.rstrip('/')}/{row['path']}"
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as out:
+                out.write(bytes(row["content"]))
+            system.move(part, path)
+
+    files.dropDuplicates(["path"]).foreachPartition(put)
+
+
 def _document(fields: dict[str, Column]) -> Column:
     """JSON with keys in order of name; null fields are left out."""
     return F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items()))))

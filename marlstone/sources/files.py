@@ -2,66 +2,168 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.conversion import ENCODERS
-from ..functions.text import format_duration_full, format_size, nonempty, year_of_date
+from ..functions.text import ascii_lower, format_duration_full, format_size, nonempty, octal_unescape, year_of_date
 
 CATALOGUE_DISC = """Index int, Slug string, Name string, Format string, ContentHash string, Titles array<struct<Index: int, Comment: string, SourceFile: string, SegmentMap: string, Duration: string, Size: bigint,
 Item: struct<Title: string, Type: string, Season: int, Episode: int, Chapters: array<struct<Index: int, Title: string>>>>>"""
 RELEASE = "Slug string, ImageUrl string, Title string, Year int"
 METADATA = "Title string, Slug string, Type string, Year int, ImageUrl string, ExternalIds struct<Tmdb: string, Imdb: string, Tvdb: string>"
 LOOKUP = """data struct<mediaItems: struct<nodes: array<struct<id: bigint, title: string, year: int, slug: string, imageUrl: string, releases: array<struct<slug: string, imageUrl: string,
-discs: array<struct<index: int, name: string, contentHash: string, titles: array<struct<index: int, sourceFile: string, item: struct<title: string, season: int, episode: int, type: string>>>>>>>>>>, errors array<struct<message: string>>"""
+discs: array<struct<index: int, name: string, contentHash: string, titles: array<struct<index: int, sourceFile: string, item: struct<title: string, season: int, episode: int, type: string>>>>>>>>>>>, errors array<struct<message: string>>"""
 PROBE = "format struct<filename: string, duration: string, size: string>, streams array<struct<index: int, codec_type: string, codec_name: string, codec_long_name: string, width: int, height: int, channels: int, sample_rate: string, r_frame_rate: string, tags: map<string, string>>>, chapters array<struct<id: bigint, start_time: string, end_time: string>>"
 UPC = "code string, items array<struct<title: string, brand: string, upc: string, ean: string>>"
 
 
 def _json(spark: SparkSession, schema: str, path: str, glob: str) -> DataFrame:
+    """The JSON files under path that match glob, with their path; no rows if there is no such folder."""
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.json(path).withColumn("path", F.col("_metadata.file_path"))
+    try:
+        return reader.json(path).withColumn("path", F.col("_metadata.file_path"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, path string")
 
 
-def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """Catalogue discs with their release and title records, found by directory, with fallbacks."""
+def catalogue_identities(discs: DataFrame, releases: DataFrame, items: DataFrame) -> DataFrame:
+    """Catalogue discs with the records of their release and title, found by folder, with fallbacks.
+
+    discs, releases and items have path and the columns of CATALOGUE_DISC, RELEASE and METADATA.
+    """
     up = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    discs = _json(spark, CATALOGUE_DISC, root, "disc*.json").withColumns({"release_dir": up(F.col("path")), "item_dir": up(up(F.col("path")))})
-    releases = _json(spark, RELEASE, root, "release.json").select(up(F.col("path")).alias("release_dir"), F.col("Slug").alias("r_slug"), F.col("ImageUrl").alias("r_image"))
-    items = _json(spark, METADATA, root, "metadata.json").select(up(F.col("path")).alias("item_dir"), F.col("Title").alias("item_title"), F.col("Slug").alias("i_slug"), F.col("Year").alias("i_year"), F.col("ImageUrl").alias("i_image"), "ExternalIds")
+    discs = discs.withColumns({"release_dir": up(F.col("path")), "item_dir": up(up(F.col("path")))})
+    releases = releases.select(up(F.col("path")).alias("release_dir"), F.col("Slug").alias("r_slug"), F.col("ImageUrl").alias("r_image"))
+    items = items.select(up(F.col("path")).alias("item_dir"), F.col("Title").alias("item_title"), F.col("Slug").alias("i_slug"), F.col("Year").alias("i_year"), F.col("ImageUrl").alias("i_image"), "ExternalIds")
     out = discs.join(releases, "release_dir", "left").join(items, "item_dir", "left")
+    tmdb = F.trim("ExternalIds.Tmdb")
     return out.select(
         "path", F.col("ContentHash").alias("content_hash"), F.coalesce("r_slug", name(F.col("release_dir"))).alias("release_slug"), F.coalesce("i_slug", name(F.col("item_dir"))).alias("media_item_id"), F.col("Index").alias("disc_index"),
-        F.coalesce("item_title", name(F.col("item_dir"))).alias("item_title"), F.when(F.col("i_year") > 0, F.col("i_year")).alias("year"), F.expr("try_cast(trim(ExternalIds.Tmdb) as bigint)").alias("tmdb_id"), nonempty(F.col("ExternalIds.Imdb")).alias("imdb_id"),
-        nonempty(F.col("ExternalIds.Tvdb")).alias("tvdb_id"), nonempty(F.coalesce("i_image", "r_image")).alias("image_url"), F.col("Titles").alias("titles"),
+        F.coalesce("item_title", name(F.col("item_dir"))).alias("item_title"), F.when(F.col("i_year") > 0, F.col("i_year")).alias("year"), F.when(tmdb.rlike(r"^\+?[0-9]{1,18}$"), tmdb.try_cast("bigint")).alias("tmdb_id"),
+        nonempty(F.col("ExternalIds.Imdb")).alias("imdb_id"), nonempty(F.col("ExternalIds.Tvdb")).alias("tvdb_id"), nonempty(F.coalesce("i_image", "r_image")).alias("image_url"), F.col("Titles").alias("titles"),
     )
 
 
-def catalogue_disc_count(spark: SparkSession, root: str) -> DataFrame:
-    """A listing, without reading contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "disc*.json").load(root).agg(F.count("path").alias("discs"))
+def read_catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """The discs of the movie, series and sets folders under data; none, and no error, if there is no such tree."""
+    kinds = root.rstrip("/") + "/data/{movie,series,sets}"
+    return catalogue_identities(_json(spark, CATALOGUE_DISC, kinds, "disc*.json"), _json(spark, RELEASE, kinds, "release.json"), _json(spark, METADATA, kinds, "metadata.json"))
 
 
-def read_lookups(spark: SparkSession, path: str) -> DataFrame:
-    """A row per disc of each response, and a status: ok, or the errors joined."""
-    raw = _json(spark, LOOKUP, path, "*.json")
+def catalogue_disc_count(spark: SparkSession, root: str) -> DataFrame:
+    """A listing, without reading contents, of all discs under data, whatever their kind."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "disc*.json")
+    try:
+        return files.load(root.rstrip("/") + "/data").agg(F.count("path").alias("discs"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([(0,)], "discs long")
+
+
+def head_signature(spark: SparkSession, root: str) -> str | None:
+    """K5: the commit that a tree is at, from its .git folder: a loose reference, a packed one, or the commit itself."""
+
+    def lines(name: str) -> list[str]:
+        try:
+            return [r["value"].strip() for r in spark.read.option("wholetext", False).text(f"{root.rstrip('/')}/.git/{name}").collect()]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    head = next(iter(lines("HEAD")), "")
+    if not head.startswith("ref:"):
+        return head or None
+    name = head.removeprefix("ref:").strip()
+    loose = next(iter(lines(name)), "")
+    packed = (x.split(" ", 1) for x in lines("packed-refs") if " " in x and x[0] not in "#^")
+    return loose or next((sha for sha, ref in packed if ref == name), None)
+
+
+#: The form of a written hash index; one of another version is not used.
+INDEX_VERSION = 1
+
+
+def hash_index_of(spark: SparkSession, root: str, index: str, signature: str | None) -> DataFrame:
+    """hash_key (upper case) and path, relative to root, of all discs of a tree, from a written index if it is valid.
+
+    The table at `index` is valid if its version and the tree's signature are those that were written last, after all its
+    rows. Else the tree is read and the table written anew. Without a signature it can't be told whether a table is
+    stale, so the tree is read each time and nothing is written. A tree without discs has no rows.
+    """
+    base = index.rstrip("/")
+
+    def rebuilt() -> DataFrame:
+        kinds = root.rstrip("/") + "/data/{movie,series,sets}"
+        discs = _json(spark, "ContentHash string", kinds, "disc*.json")
+        relative = F.regexp_extract("path", r"/(data/(?:movie|series|sets)/.*)$", 1)
+        return discs.where("trim(ContentHash) <> ''").select(F.upper("ContentHash").alias("hash_key"), relative.alias("path"))
+
+    if signature is None:
+        return rebuilt()
+    try:
+        known = spark.read.schema("version int, signature string").parquet(f"{base}/state").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known is None or (known["version"], known["signature"]) != (INDEX_VERSION, signature):
+        rebuilt().sort("hash_key", "path").write.mode("overwrite").parquet(f"{base}/entries")
+        spark.createDataFrame([(INDEX_VERSION, signature)], "version int, signature string").coalesce(1).write.mode("overwrite").parquet(f"{base}/state")
+    return spark.read.schema("hash_key string, path string").parquet(f"{base}/entries")
+
+
+def lookup_discs(raw: DataFrame) -> DataFrame:
+    """A row per disc of each response (path and the columns of LOOKUP), and a status: ok, or the errors joined.
+
+    A response whose list of titles is null has one row without a disc, and is ok.
+    """
     status = F.when(F.size("errors") > 0, F.array_join("errors.message", "; ")).when(F.col("data").isNull(), "no data").otherwise("ok")
     rows = raw.select("path", status.alias("status"), F.explode_outer("data.mediaItems.nodes").alias("node")).select("path", "status", "node", F.explode_outer("node.releases").alias("release"))
     return rows.select("path", "status", F.col("node.id").alias("media_item_id"), F.col("node.title").alias("item_title"), F.col("release.slug").alias("release_slug"), nonempty(F.coalesce("node.imageUrl", "release.imageUrl")).alias("image_url"), F.explode_outer("release.discs").alias("disc"))
 
 
+def read_lookups(spark: SparkSession, path: str) -> DataFrame:
+    """Landed responses."""
+    return lookup_discs(_json(spark, LOOKUP, path, "*.json"))
+
+
+def matching_discs(discs: DataFrame, content_hash: Column) -> DataFrame:
+    """Of lookup_discs' rows the discs with this hash, whatever its case."""
+    return discs.where(ascii_lower(F.col("disc.contentHash")) == ascii_lower(content_hash))
+
+
 def disc_files(listing: DataFrame, disc: str, path: str, size: str) -> DataFrame:
-    """The files that make a disc's fingerprint, numbered by bytewise name."""
-    name = F.regexp_extract(path, "([^/]*)$", 1)
-    bd, dvd = F.col(path).rlike(r"(^|/)BDMV/STREAM/[^/]*\.(?i:m2ts)$"), F.col(path).rlike(r"(^|/)VIDEO_TS/[^/]+$")
-    rows = listing.select(disc, name.alias("name"), F.col(size).alias("size"), bd.alias("bd"), dvd.alias("dvd")).where("bd or dvd")
-    any_bd = F.bool_or("bd").over(Window.partitionBy(disc))
-    return rows.withColumn("_any", any_bd).where("bd or not _any").withColumn("idx", F.row_number().over(Window.partitionBy(disc).orderBy("name")) - 1).select(disc, "idx", "name", "size")
+    """The files that make a disc's fingerprint, numbered by bytewise name: disc, idx, name, size, error.
+
+    listing has the paths of files, from the disc's root, and may have those of folders (size null). Discs with a folder
+    BDMV/STREAM have its .m2ts files, in any case and without folders in it; others all files of VIDEO_TS. A disc with
+    neither folder has one row, with the error; one whose folder holds no such file has one with nulls.
+    """
+    bd, dvd = F.col("_p").rlike("^BDMV/STREAM(/|$)"), F.col("_p").rlike("^VIDEO_TS(/|$)")
+    rows = listing.select(disc, F.regexp_replace(path, "^/+|/+$", "").alias("_p"), F.col(size).alias("size"))
+    own = Window.partitionBy(disc)
+    rows = rows.select("*", F.when(F.bool_or(bd).over(own), "BD").when(F.bool_or(dvd).over(own), "DVD").alias("_kind"))
+    wanted = F.col("size").isNotNull() & F.when(F.col("_kind") == "BD", F.col("_p").rlike(r"^BDMV/STREAM/[^/]*\.(?i:m2ts)$")).otherwise(F.col("_p").rlike("^VIDEO_TS/[^/]+$"))
+    rows = rows.select(disc, F.when(wanted, F.regexp_extract("_p", "([^/]*)$", 1)).alias("name"), F.when(wanted, F.col("size")).alias("size"), "_kind")
+    rank = F.row_number().over(own.orderBy(F.col("name").asc_nulls_last()))
+    rows = rows.select("*", (rank - 1).alias("idx"), F.count("name").over(own).alias("_n")).where("name is not null or _n = 0 and idx = 0")
+    error = F.when(F.col("_kind").isNull(), "no BDMV/STREAM/ or VIDEO_TS/ directory found")
+    return rows.select(disc, F.when(F.col("name").isNotNull(), F.col("idx")).alias("idx"), "name", "size", error.alias("error"))
 
 
 def parse_playlist(data: bytes) -> list[tuple[str, int, int]] | None:
@@ -98,30 +200,99 @@ def region_mask(content: Column) -> Column:
     return F.when((F.octet_length(content) >= 0x24) & (F.substring(content, 1, 12) == F.lit(b"DVDVIDEO-VMG")), F.conv(F.hex(F.substring(content, 0x24, 1)), 16, 10).cast("int"))
 
 
-def disc_title(xml: Column) -> Column:
-    """The first name under the disc's information, whatever the prefixes."""
-    return nonempty(F.get(F.xpath(xml, F.lit("//*[local-name()='discinfo']//*[local-name()='name']/text()")), F.lit(0)))
+SIDE_FILE = StructType([StructField("disc_title", StringType()), StructField("num_sets", LongType()), StructField("set_number", LongType()), StructField("title_names", MapType(LongType(), StringType())), StructField("error", StringType())])
+
+
+def parse_side_file(text: str | None) -> tuple:
+    """disc_title, num_sets, set_number, title_names and error of a disc's XML record.
+
+    Prefixes of names do not count. The title is the first name inside discinfo; of the numbers there the last counts,
+    null if it is none; titleName counts inside tableofcontents, by the number of the title around it, and of equal
+    numbers the last counts. A text that is no XML gives an error.
+    """
+    found: dict = {"names": {}}
+    path: list[str] = []
+    number: list[int | None] = [None]
+    plain = lambda name: name.rpartition(":")[2]
+    count = lambda t: int(t) if re.fullmatch(r"\+?[0-9]+", t, re.A) and int(t) < 1 << 32 else None
+
+    def start(name: str, attributes: dict) -> None:
+        if plain(name) == "title" and not {"tableofcontents", "titles"}.isdisjoint(path):
+            own = next((count(v) for k, v in attributes.items() if plain(k) == "titleNumber"), None)
+            number[0] = number[0] if own is None else own
+        path.append(plain(name))
+
+    def end(_: str) -> None:
+        if path.pop() == "title" and not {"tableofcontents", "titles"}.isdisjoint(path):
+            number[0] = None
+
+    def data(piece: str) -> None:
+        piece = piece.strip()
+        if not piece or not path:
+            return
+        if "discinfo" in path and path[-1] == "name":
+            found.setdefault("title", piece)
+        elif "discinfo" in path and path[-1] in ("numSets", "setNumber"):
+            found[path[-1]] = count(piece)
+        elif path[-1] == "titleName" and "tableofcontents" in path and number[0] is not None:
+            found["names"][number[0]] = piece
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    try:
+        parser.Parse((text or "").encode(), True)
+    except expat.ExpatError as e:
+        return None, None, None, None, f"no side file: {e}"
+    return found.get("title"), found.get("numSets"), found.get("setNumber"), found["names"], None
+
+
+@F.pandas_udf(SIDE_FILE)
+def side_file(texts: pd.Series) -> pd.DataFrame:
+    """See parse_side_file; null for null. Side files are few and small, so they are parsed in Python."""
+    rows = [(None,) * 5 if t is None else parse_side_file(t) for t in texts]
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="Int64" if c in ("num_sets", "set_number") else object) for i, c in enumerate(SIDE_FILE.names)})
+
+
+def read_side_files(spark: SparkSession, root: str) -> DataFrame:
+    """Disc (the folder above BDMV), path and what parse_side_file finds, of each disc under root.
+
+    Of a disc's files the English one counts, else the one whose name sorts first.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "bdmt_*.[xX][mM][lL]")
+    rows = files.text(root).select(F.col("_metadata.file_path").alias("path"), "value").withColumn("disc", F.regexp_extract("path", "^(.*)/BDMV/META/DL/[^/]*$", 1)).where("disc <> ''")
+    best = F.row_number().over(Window.partitionBy("disc").orderBy(~F.col("path").endswith("/bdmt_eng.xml"), "path"))
+    chosen = rows.withColumn("_rank", best).where("_rank = 1")
+    return chosen.select("disc", "path", side_file("value").alias("s")).select("disc", "path", "s.*")
+
+
+def media_probes(raw: DataFrame) -> DataFrame:
+    """media_probe of path and the columns of PROBE."""
+    return raw.select("path", F.round(F.expr("try_cast(format.duration as double)")).cast("bigint").alias("duration_seconds"), F.expr("try_cast(format.size as bigint)").alias("size_bytes"), "streams", "chapters")
 
 
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
-    """media_probe."""
-    raw = _json(spark, PROBE, path, "*.json")
-    return raw.select("path", F.round(F.expr("try_cast(format.duration as double)")).cast("bigint").alias("duration_seconds"), F.expr("try_cast(format.size as bigint)").alias("size_bytes"), "streams", "chapters")
+    """Landed probes."""
+    return media_probes(_json(spark, PROBE, path, "*.json"))
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """The first item of each good answer."""
+def products(raw: DataFrame) -> DataFrame:
+    """The first item of each good answer; raw has path and the columns of UPC."""
     item = F.get("items", F.lit(0))
-    return _json(spark, UPC, path, "*.json").where("code = 'OK' and size(items) > 0").select("path", nonempty(item["title"]).alias("title"), nonempty(item["brand"]).alias("brand"), F.coalesce(nonempty(item["upc"]), nonempty(item["ean"])).alias("upc"))
+    return raw.where("code = 'OK' and size(items) > 0").select("path", nonempty(item["title"]).alias("title"), nonempty(item["brand"]).alias("brand"), F.coalesce(nonempty(item["upc"]), nonempty(item["ean"])).alias("upc"))
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers."""
+    return products(_json(spark, UPC, path, "*.json"))
 
 
 def optical_mounts(lines: DataFrame, value: str = "value") -> DataFrame:
     """Device number, mount point and label of optical drives in a mount table."""
-    from ..functions.text import octal_unescape
-
-    parts = F.split(value, r"\s+")
-    rows = lines.select(F.regexp_extract(F.get(parts, F.lit(0)), r"^/dev/sr([0-9]+)$", 1).alias("drive"), octal_unescape(F.get(parts, F.lit(1))).alias("mount")).where("drive <> ''")
-    return rows.withColumn("label", F.regexp_extract("mount", "([^/]*)$", 1))
+    parts = F.split(F.trim(value), r"\s+")
+    rows = lines.select(F.regexp_extract(F.get(parts, F.lit(0)), r"^/dev/sr\+?([0-9]{1,9})$", 1).alias("drive"), F.get(parts, F.lit(1)).alias("mount")).where("drive <> '' and mount is not null")
+    rows = rows.select(F.col("drive").cast("int").alias("drive"), octal_unescape("mount").alias("mount"))
+    return rows.withColumn("label", F.nullif(F.nullif(F.regexp_extract("mount", "([^/]*)/*$", 1), F.lit("")), F.lit("..")))
 
 
 #: Answers of movie and series services.
@@ -142,14 +313,24 @@ def _details(raw: DataFrame, imdb: str, title: Column, date: str, kind: str) ->
     return raw.select("path", F.col("id").alias("tmdb_id"), filled(F.col(imdb)).alias("imdb_id"), filled(title).alias("title"), year_of_date(F.col(date)).alias("year"), filled(F.col("overview")).alias("plot"), filled(F.col("tagline")).alias("tagline"), F.lit(kind).alias("content_type"))
 
 
+def movie_details(raw: DataFrame) -> DataFrame:
+    """Answers on movies (path and the columns of MOVIE); the title is chosen before it is tested for being empty."""
+    return _details(raw, "imdb_id", F.coalesce("title", "original_title"), "release_date", "Movie")
+
+
+def series_details(raw: DataFrame) -> DataFrame:
+    """Answers on series (path and the columns of SERIES)."""
+    return _details(raw, "external_ids.imdb_id", F.coalesce("name", "original_name"), "first_air_date", "Series")
+
+
 def read_movie_details(spark: SparkSession, path: str) -> DataFrame:
-    """Landed answers on movies; the title is chosen before it is tested for being empty."""
-    return _details(_json(spark, MOVIE, path, "*.json"), "imdb_id", F.coalesce("title", "original_title"), "release_date", "Movie")
+    """Landed answers on movies."""
+    return movie_details(_json(spark, MOVIE, path, "*.json"))
 
 
 def read_series_details(spark: SparkSession, path: str) -> DataFrame:
     """Landed answers on series."""
-    return _details(_json(spark, SERIES, path, "*.json"), "external_ids.imdb_id", F.coalesce("name", "original_name"), "first_air_date", "Series")
+    return series_details(_json(spark, SERIES, path, "*.json"))
 
 
 def read_finds(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import media, naming, text
 from marlstone.operators import discs, identify, scan
-from marlstone.plans.catalogue_queries import ORACLES, QUERIES
+from marlstone.plans.registry import ORACLES, QUERIES
 from marlstone.sources import files, robot_log
 from marlstone.streaming import progress
 
