@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches
+from .shingles import _powers, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose scores a Python worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+#: Scores (one a word and language) that a Python worker remembers; beyond it, it starts anew. Those made at once.
+CACHE, PART = 1_200_000, 80_000
 _PIECES: dict[str, list[str]] = {}
 _SCORES: dict[int, tuple] = {}
 
@@ -69,6 +70,101 @@ def forward(word: str, probs: dict[str, tuple[float, ...] | bool], n: int, longe
     return [x + math.log(a) for x, a in zip(logs, alphas[-1])]
 
 
+class Lattice:
+    """The same for many words at once, in numpy: pieces are found by hashes of letters, sums are made place by place.
+
+    Hashes are 64-bit; a run of letters that is no piece is taken for one with odds of about pieces / 2^64.
+    """
+
+    SLOTS = 20
+
+    def __init__(self, pieces: list[str], probs: np.ndarray, floor: float):
+        self.probs, self.floor, self.longest = np.ascontiguousarray(probs), floor, max(map(len, pieces))
+        table = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+        runs = sorted(table, key=len)
+        self.number = np.array([table[r] for r in runs], np.int32)
+        self.more = np.array([False] * len(runs))  # whether a longer piece ends in this run
+        place = {r: i for i, r in enumerate(runs)}
+        for r in runs:
+            if len(r) > 1:
+                self.more[place[r[1:]]] = True
+        codes, starts, lengths = self._codes(runs)
+        prefix, inverse = self._prefix(codes)
+        self.hashes = self._hash(prefix, inverse, starts, starts + lengths)
+        # Slots by some bits of the hash; runs that meet go to another table, by other bits.
+        self.tables, left = [], np.arange(len(runs))
+        while len(left):
+            slot = self._slot(self.hashes[left], len(self.tables))
+            first = np.unique(slot, return_index=True)[1]
+            own = np.full(1 << self.SLOTS, -1, np.int32)
+            own[slot[first]] = left[first]
+            self.tables.append(own)
+            left = np.delete(left, first)
+
+    @staticmethod
+    def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        return codes, np.cumsum(lengths) - lengths, lengths
+
+    @staticmethod
+    def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = _powers(len(codes) + 1)
+        return np.r_[np.uint64(0), np.cumsum(mix(codes + np.uint64(1)) * power[: len(codes)])], inverse
+
+    @staticmethod
+    def _hash(prefix: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+    def _slot(self, hashes: np.ndarray, table: int) -> np.ndarray:
+        return (mix(hashes + np.uint64(table)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), -1, np.int32)
+        for k, table in enumerate(self.tables):
+            at = np.flatnonzero(found < 0)
+            there = table[self._slot(hashes[at], k)]
+            good = (there >= 0) & (self.hashes[there] == hashes[at])
+            found[at[good]] = there[good]
+        return found
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """forward() of each word, as a row; words may be at most 24 letters, or the sums would leave the floats."""
+        order = np.argsort([-len(w) for w in words], kind="stable")
+        codes, starts, lengths = self._codes([words[i] for i in order])
+        prefix, inverse = self._prefix(codes)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(codes)) - starts[owner] + 1  # letters up to and with each position
+        arcs: list[list[tuple]] = [[] for _ in range(int(lengths[0]) + 1)]  # by place: length, words, pieces
+        alive = np.arange(len(codes))
+        for size in range(1, self.longest + 1):
+            alive = alive[place[alive] >= size]
+            if not len(alive):
+                break
+            found = self._find(self._hash(prefix, inverse, alive + 1 - size, alive + 1))
+            alive, found = alive[found >= 0], found[found >= 0]
+            number = self.number[found]
+            hit = alive[number >= 0]
+            by_place = np.argsort(place[hit], kind="stable")
+            hit, number = hit[by_place], number[number >= 0][by_place]
+            ends = np.searchsorted(place[hit], np.arange(len(arcs) + 1))
+            for j in range(1, len(arcs)):
+                if ends[j] < ends[j + 1]:
+                    part = slice(ends[j], ends[j + 1])
+                    arcs[j].append((size, owner[hit[part]], number[part]))
+            alive = alive[self.more[found]]
+        alphas = np.zeros((len(arcs), len(words), self.probs.shape[1]))
+        alphas[0] = 1.0
+        for j in range(1, len(arcs)):
+            own = alphas[j]
+            np.multiply(alphas[j - 1], self.floor, out=own)
+            for size, who, number in arcs[j]:
+                own[who] += alphas[j - size, who] * self.probs[number]
+        out = np.empty((len(words), self.probs.shape[1]))
+        out[order] = np.log(alphas[lengths, np.arange(len(words))])
+        return out
+
+
 def fit_pieces(words: dict[str, int], pieces: list[str], rounds: int, smoothing: float, longest: int) -> np.ndarray:
     """Probabilities of the pieces by expectation maximisation over all segmentations of the counted words.
 
@@ -146,10 +242,12 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
     """Predict the language of every whole text: id column, lang_pred string, score double, and the columns
     named in `keep`.
 
-    Each run of letters is a word; a text's log-likelihood is the sum of its words' forward scores. The score is the
-    posterior of the best language under equal priors; ties go to the language that sorts first. Texts that are null or
-    have no letter get `undetermined` and 0, and so does every text if no language was learned. Repeated rows give
-    repeated results; an empty table gives none; other columns are not read.
+    Each run of letters is a word; a text's log-likelihood is the sum of its words' forward scores, and the language
+    with the highest wins; ties go to the one that sorts first. The posterior of a whole text is near 1 for nearly any
+    text, so the score is that of the winner for one word of the text's mean likelihood, under equal priors: it does not
+    grow with length and tells clear texts from mixed ones. Texts that are null or have no letter get `undetermined` and
+    0, and so does every text if no language was learned. Repeated rows give repeated results; an empty table gives
+    none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     kind, *kept = (f.dataType.simpleString() for f in rows.schema.fields if f.name != "text")
@@ -160,23 +258,29 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
         pieces = vocabulary(vocabulary_path)
         if model_key not in _SCORES:
             _SCORES.clear()
-            table = piece_table(pieces, probs)
-            _SCORES[model_key] = {}, np.zeros((CACHE, n)), table
-        index, scores, table = _SCORES[model_key]
-        longest = max(map(len, pieces))
+            _SCORES[model_key] = {}, np.zeros((CACHE // max(n, 1), n)), piece_table(pieces, probs), Lattice(pieces, probs, floor)
+        index, scores, table, lattice = _SCORES[model_key]
+        longest = lattice.longest
         texts = batch.column(1).to_pylist()
         split = [LETTERS.findall((t or "").lower()) for t in texts]
         pred, score = [], []
         if n:
             new = set(chain.from_iterable(split)).difference(index)
-            if len(index) + len(new) > CACHE:
+            if len(index) + len(new) > len(scores):
                 index.clear()
                 new = set(chain.from_iterable(split))
             if len(new) > len(scores):  # one text may have more distinct words than the cache
-                _SCORES[model_key] = index, scores, table = index, np.zeros((len(new), n)), table
+                _SCORES[model_key] = index, scores, table, lattice = index, np.zeros((len(new), n)), table, lattice
+            short = [w for w in new if len(w) < 24]
+            step = max(1, PART // n)
+            for at in range(0, len(short), step):
+                part = short[at : at + step]
+                scores[len(index) : len(index) + len(part)] = lattice.scores(["▁" + w for w in part])
+                index.update(zip(part, range(len(index), len(index) + len(part))))
             for w in new:
-                scores[len(index)] = forward("▁" + w, table, n, longest, floor)
-                index[w] = len(index)
+                if len(w) >= 24:
+                    scores[len(index)] = forward("▁" + w, table, n, longest, floor)
+                    index[w] = len(index)
         for words in split:
             if not words or not n:
                 pred.append(undetermined)
@@ -185,7 +289,7 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
             total = scores[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0)
             best = int(total.argmax())
             pred.append(langs[best])
-            score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
+            score.append(float(1 / np.exp((total - total[best]) / len(words)).sum()))
         names = ["id", "lang_pred", "score", *(f"_keep_{i}" for i in range(len(keep)))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], names)
 
