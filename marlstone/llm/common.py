@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,18 +45,41 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stored within the block are deleted at its end, but those that outlive it.
+
+    What is made from them within must be stored, too, before the end.
+    """
+    blocks = _OPEN.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path, system in blocks.pop():
+            system.delete(path, True)
+
+
+def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
-    The table survives lost executors and is deleted when the session's JVM ends. Spark deletes the shuffle files of a
-    finished write only when the driver collects garbage, which at these sizes it seldom does by itself; so it is asked
-    to, lest each step's files stay beside the next one's. Its setting for this leaves out the shuffles of writes.
+    The table survives lost executors and is deleted at the end of the scratch() block around, which with `outlive` is
+    the second one, and at the latest when the session's JVM ends. Spark deletes the shuffle files of a finished write
+    only when the driver collects garbage, which at these sizes it seldom does by itself; so it is asked to, lest each
+    step's files stay beside the next one's. Its setting for this leaves out the shuffles of writes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    system = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(jpath)
+    blocks = getattr(_OPEN, "blocks", [])[: -1 if outlive else None]
+    if blocks:
+        blocks[-1].append((jpath, system))
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -74,5 +74,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_suffix_dedup, op4_quality, op5_mixing, op6_html_extraction, op7_ngram_jaccard, op8_media, op9_sharding, op10_nearest)
 }
-#: None of these can be told in DuckDB's SQL (CRC-32, tokenizers, fitted models, files); tests/llm holds each against brute force.
+#: None of these can be told in DuckDB's SQL (CRC-32, tokenizers, fitted models, files); tests/llm/test_queries.py holds
+#: the rows of each against brute force.
 ORACLES: dict[str, str] = {}

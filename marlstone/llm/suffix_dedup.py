@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find
-from .common import fits, join_spread, map_batches, stored
+from .common import fits, join_spread, map_batches, scratch, stored
 from .gsaca import suffix_array
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,30 +194,31 @@ def _narrowed(contexts: DataFrame, margin: int, step: int) -> DataFrame:
 
 
 def _edge_spans(contexts: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """key, begin, end of the repeated spans around the contexts that occur once (gram, key, at, n, left, right; stored).
+    """key, begin, end of the repeated spans around the contexts that occur once.
 
-    Groups of at most `hot` contexts go to suffix arrays. Those of larger ones are grouped again by longer grams, each
-    time by half of what is missing to a whole string; equal ones are counted and meet as one. In the end a gram is a
-    whole string, and all its contexts are equal.
+    contexts (stored): gram, key, at, n, left, right, and kinds, the number of the gram's contexts. Groups of at most
+    `hot` contexts go to suffix arrays. Those of larger ones are grouped again by longer grams, each time by half of what
+    is missing to a whole string; equal ones are counted and meet as one. In the end a gram is a whole string, and all
+    its contexts are equal.
     """
     marks: DataFrame | None = None
     while True:
-        margin = window - gram
-        sizes = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1")
-        sizes = stored(sizes.select("gram", "kinds"), "sizes")
-        found = stored(_group_spans(contexts.join(sizes.where(F.col("kinds") <= hot), "gram"), window, gram), "edges")
+        found = stored(_group_spans(contexts.where(F.col("kinds") <= hot), window, gram), "edges")
         marks = found if marks is None else marks.union(found)
-        large = sizes.where(F.col("kinds") > hot)
+        large = contexts.where(F.col("kinds") > hot)
         if large.isEmpty():
             return marks
+        margin = window - gram
         step = -(-margin // 2)
         gram += step
-        rows = stored(_narrowed(join_spread(contexts, large, ["gram"], "kinds"), margin, step), "narrowed")
+        rows = stored(_narrowed(large, margin, step), "narrowed")
         same = ["gram", "left", "right"]
         kinds = stored(rows.groupBy(*same).agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("rows")), "kinds")
         again = join_spread(rows.where("n = 1").drop("n"), kinds.where("n > 1").select(*same, "rows"), same, "rows")
         marks = marks.union(again.select("key", (F.col("at") - F.length("left")).alias("begin"), (F.col("at") + gram + F.length("right")).alias("end")))
-        contexts = stored(kinds.select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), "left", "right"), "contexts")
+        sizes = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1")
+        of_size = join_spread(kinds, stored(sizes.select("gram", "kinds"), "sizes"), ["gram"], "kinds")
+        contexts = stored(of_size.select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), "left", "right", "kinds"), "contexts")
 
 
 def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: int = 1024) -> DataFrame:
@@ -228,46 +229,48 @@ def repeated_spans(texts: DataFrame, window: int = 200, gram: int = 100, hot: in
     again is repeated without further work. Contexts of repeated grams that occur once, the edges of what is repeated,
     meet one example of each other context of their gram, and suffix arrays tell what they share. Counts are
     pre-aggregated, so only different contexts of a gram meet; a gram with more than `hot` of them is made longer, which
-    parts them into smaller groups. Grams and contexts that come very often are joined without moving their rows. What one text's rows gather grows with the length of that text alone.
+    parts them into smaller groups. Grams and contexts that come very often are joined without
+    moving their rows. What one text's rows gather grows with the length of that text alone.
     """
-    spark = texts.sparkSession
-    grams = _occurrences(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    grams = stored(grams, "grams")
-    if fits(grams.count() * 8):
-        live = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()))
-        again = _occurrences(texts, window, gram, live)
-    else:
-        again = _occurrences(texts, window, gram).join(grams.hint("merge"), "gram", "left_semi")
-    again = stored(again, "occurrences")
-    kinds = stored(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "kinds")
-    whole = join_spread(again, kinds.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n")
-    whole = whole.select("key", (F.col("at") - (window - gram)).alias("begin"), (F.col("at") + window).alias("end"))
-    edges = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds"), "edges")
-    asked = join_spread(kinds, edges, ["gram"], "kinds").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"))
-    by_text = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n")).alias("asks"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: tuple[list, ...] = ([], [], [], [], [], [])
-        for key, text, asks in zip(*(c.to_pylist() for c in batch.columns)):
-            data = text.encode()
-            for a in asks:
-                at = a["at"]
-                for c, v in zip(cols, (a["gram"], key, at, a["n"], data[max(0, at - window + gram) : at][::-1], data[at + gram : at + window])):
-                    c.append(v)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["gram", "key", "at", "n", "left", "right"])
-
-    # Repeated rows give a context twice; it has n > 1 then, and is marked as a whole already.
-    joined = texts.join(by_text, "key").select("key", "text", "asks")
-    contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, left binary, right binary"), "contexts")
-    marks = whole.union(_edge_spans(contexts, window, gram, hot))
-
-    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for s in own])] for own in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
-
-    gathered = marks.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return stored(map_batches(gathered, merge, "key long, spans array<struct<begin: int, end: int>>"), "spans")
+    with scratch():
+        spark = texts.sparkSession
+        grams = _occurrences(texts, window, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        grams = stored(grams, "grams")
+        if fits(grams.count() * 8):
+            live = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy()))
+            again = _occurrences(texts, window, gram, live)
+        else:
+            again = _occurrences(texts, window, gram).join(grams.hint("merge"), "gram", "left_semi")
+        again = stored(again, "occurrences")
+        kinds = stored(again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")), "kinds")
+        whole = join_spread(again, kinds.where("n > 1").select("gram", "context", "n"), ["gram", "context"], "n")
+        whole = whole.select("key", (F.col("at") - (window - gram)).alias("begin"), (F.col("at") + window).alias("end"))
+        edges = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("_least")).where("kinds > 1 and _least = 1").select("gram", "kinds"), "edges")
+        asked = join_spread(kinds, edges, ["gram"], "kinds").select("gram", F.col("first.key").alias("key"), F.col("first.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), F.col("kinds").cast("int").alias("kinds"))
+        by_text = asked.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "n", "kinds")).alias("asks"))
+
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for key, text, asks in zip(*(c.to_pylist() for c in batch.columns)):
+                data = text.encode()
+                for a in asks:
+                    at = a["at"]
+                    for c, v in zip(cols, (a["gram"], key, at, a["n"], data[max(0, at - window + gram) : at][::-1], data[at + gram : at + window], a["kinds"])):
+                        c.append(v)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["gram", "key", "at", "n", "left", "right", "kinds"])
+
+        # Repeated rows give a context twice; it has n > 1 then, and is marked as a whole already.
+        joined = texts.join(by_text, "key").select("key", "text", "asks")
+        contexts = stored(map_batches(joined, cut, "gram long, key long, at int, n int, left binary, right binary, kinds int"), "contexts")
+        marks = whole.union(_edge_spans(contexts, window, gram, hot))
+
+        def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            spans = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for s in own])] for own in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
+
+        gathered = marks.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+        return stored(map_batches(gathered, merge, "key long, spans array<struct<begin: int, end: int>>"), "spans", outlive=True)
 
 
 def _bounds(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:

@@ -127,23 +127,6 @@ def test_near_duplicates(spark, docs, empty):
     assert jaccard.near_duplicates(empty, "doc_id", "text").count() == 0
 
 
-def test_near_duplicates_in_blocks(spark):
-    rng = random.Random(5)
-    words = prose(50, 60).split()
-    rows = []
-    for i in range(60):
-        w = list(words)
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = f"n{rng.randrange(40)}"
-        rows.append((i, " ".join(w)))
-    sets = shingles.shingle_sets([t for _, t in rows], 5)
-    label = list(range(60))
-    for _ in range(60):
-        label = [min(label[j] for j in range(60) if jaccard.linked(sets[i], sets[j], (80, 100))) for i in range(60)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame, "doc_id", "text", block=8).collect()} == dict(enumerate(label))
-
-
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -294,15 +277,3 @@ def test_nearest(spark):
         hits += r["vec_id"] in np.lexsort((np.arange(1200), d))[:10]
     assert hits >= 0.9 * 120
     assert ann.build(frame.limit(0), "vec_id", "embedding") is None
-
-
-def test_pipeline(spark, docs):
-    import corpus_pipeline
-
-    rows = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        rows = corpus_pipeline.stored(stage(spark, rows, ""), name)
-        assert tuple(rows.columns) == corpus_pipeline.COLUMNS
-    kept = {r["doc_id"] for r in rows.collect()}
-    assert {1, 7, 9, 11, None} - kept <= {11} and not kept & {2, 4, 5, 8}
-    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() >= rows.count()
