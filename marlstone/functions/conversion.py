@@ -66,24 +66,23 @@ def resolve_backend(asked: Column, codec: Column, encoders: Column, vaapi_device
     return F.when(asked == "auto", first).when(able(asked), asked).otherwise("software")
 
 
+#: An encoder's arguments by backend, or by backend and codec; {q} is the quality, {rate} the bit rate.
+RATE_ARGS = {
+    "vaapi": "-qp {q}", "nvenc": "-preset p5 -rc vbr -cq {q}", "qsv": "-preset medium -global_quality {q}", "amf": "-quality balanced -rc cqp -qp_i {q} -qp_p {q} -qp_b {q}", "v4l2m2m": "-b:v {rate}M",
+    "software/h264": "-preset medium -crf {q}", "software/h265": "-preset medium -crf {q} -x265-params open-gop=0:repeat-headers=1:info=0",
+}
+
+
 def encoder_args(backend: Column, codec: Column, quality: Column, vaapi_device: Column) -> Column:
-    """V5: struct<init, upload_filter, args>."""
-    text = lambda *words: F.array(*(w if isinstance(w, Column) else F.lit(w) for w in words))
-    q = quality.cast("string")
+    """V5: struct<init, upload_filter, args>; any other backend counts as software, any other codec there as h264."""
     rate = F.greatest(F.lit(0), F.lit(24) - F.floor(F.greatest(quality - 18, F.lit(0)) * 3 / 2)).cast("string")
-    own = (
-        F.when(backend == "vaapi", text("-qp", q))
-        .when(backend == "nvenc", text("-preset", "p5", "-rc", "vbr", "-cq", q))
-        .when(backend == "qsv", text("-preset", "medium", "-global_quality", q))
-        .when(backend == "amf", text("-quality", "balanced", "-rc", "cqp", "-qp_i", q, "-qp_p", q, "-qp_b", q))
-        .when(backend == "v4l2m2m", text("-b:v", F.concat(rate, F.lit("M"))))
-        .when(codec == "h265", text("-preset", "medium", "-crf", q, "-x265-params", "open-gop=0:repeat-headers=1:info=0"))
-        .otherwise(text("-preset", "medium", "-crf", q))
-    )
+    software = _of(RATE_ARGS, F.when(codec == "h265", "software/h265").otherwise("software/h264"))
+    own = F.coalesce(_of(RATE_ARGS, F.when(backend != "software", backend)), software)
+    own = F.replace(F.replace(own, F.lit("{q}"), quality.cast("string")), F.lit("{rate}"), rate)
     name = F.coalesce(encoder(backend, codec), encoder(F.lit("software"), codec))
-    init = F.when((backend == "vaapi") & vaapi_device.isNotNull(), text("-vaapi_device", vaapi_device)).otherwise(F.array().cast("array<string>"))
+    init = F.when((backend == "vaapi") & vaapi_device.isNotNull(), F.array(F.lit("-vaapi_device"), vaapi_device)).otherwise(F.array().cast("array<string>"))
     upload = F.when(backend == "vaapi", "format=nv12,hwupload")
-    return F.struct(init.alias("init"), upload.alias("upload_filter"), F.concat(text("-c:v", name), own, text("-g", "48")).alias("args"))
+    return F.struct(init.alias("init"), upload.alias("upload_filter"), F.concat(F.array(F.lit("-c:v"), name), F.split(own, " "), F.array(F.lit("-g"), F.lit("48"))).alias("args"))
 
 
 def stereo_source(mvcc: Column, mode: Column) -> Column:
