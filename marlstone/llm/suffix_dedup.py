@@ -316,7 +316,7 @@ def apply_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame, k
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("key"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     carried = [f for f in rows.schema.fields if f.name.startswith("_keep_")]
-    joined = rows.join(spans, "key", "left").select("id", "text", "spans", *(f.name for f in carried))
+    joined = rows.join(spans.hint("merge"), "key", "left").select("id", "text", "spans", *(f.name for f in carried))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: tuple[list, ...] = ([], [], [], [], [], [])
