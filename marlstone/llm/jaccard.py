@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, frequent: int, share: tuple[in
             own.append(token)
             if covered > errors:
                 break
-        pairs = np.array([p for own in members.values() for p in combinations(sorted(own), 2)], np.uint64).reshape(-1, 2)
+        pairs = np.array([p for own in members.values() for p in itertools.combinations(sorted(own), 2)], np.uint64).reshape(-1, 2)
         out.append(mix(mix(pairs[:, 0] + np.uint64(groups)) * np.uint64(3) + pairs[:, 1]))
     return np.concatenate(out)
 
@@ -221,6 +221,33 @@ def _cross_pairs(group: pa.Table, share: tuple[int, int], same_block: bool, most
     return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
 
 
+def _small_pairs(rows: dict[str, np.ndarray], maps: list[bytes], ends: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The candidate pairs within each of many small blocks, which end (exclusively) at `ends`: all at once, by distance."""
+    rep, n, comp, hub, block, cross = (rows[c] for c in ("rep", "n", "component", "hub", "block", "cross"))
+    owner = np.searchsorted(ends, np.arange(len(rep)), "right")
+    there = np.flatnonzero(rep != hub)
+    first, second, step = [], [], 1
+    at = np.arange(len(there) - 1)
+    while len(at):  # pairs `step` apart in the same block
+        p, q = there[at], there[at + step]
+        same = owner[p] == owner[q]
+        at, p, q = at[same], p[same], q[same]
+        may = (comp[p] != comp[q]) & (share[1] * np.minimum(n[p], n[q]) >= share[0] * np.maximum(n[p], n[q])) & (~cross[p] | (block[p] != block[q]))
+        first.append(p[may])
+        second.append(q[may])
+        step += 1
+        at = at[at + step < len(there)]
+    p, q = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    sizes = np.array([len(m) for m in maps])
+    least, limit, keep = np.minimum(sizes[p], sizes[q]), most_different(n[p] + n[q], share), np.zeros(len(p), bool)
+    for size in np.unique(least):  # bitmaps of other sizes are folded to the smaller one
+        pairs = np.flatnonzero(least == size)
+        wanted, place = np.unique(np.r_[p[pairs], q[pairs]], return_inverse=True)
+        marks = np.stack([folded(maps[i], int(size)) for i in wanted])
+        keep[pairs] = np.bitwise_count(marks[place[: len(pairs)]] ^ marks[place[len(pairs) :]]).sum(1) <= limit[pairs]
+    return np.minimum(rep[p[keep]], rep[q[keep]]), np.maximum(rep[p[keep]], rep[q[keep]])
+
+
 def _spanning(group: pa.Table, share: tuple[int, int], same_block: bool) -> pa.Table:
     """Links of two blocks that join all their rows which links of these blocks can join, at most one for each row."""
     rep, comp, tokens = group["rep"].to_numpy(), group["component"].to_numpy().tolist(), group["tokens"].to_pylist()
@@ -262,16 +289,50 @@ def _crossed(buckets: DataFrame, info: DataFrame, formed: DataFrame, rows: DataF
     own = F.col("component").eqNullSafe(F.col("main"))
     dealt = dealt.withColumn("block", F.when(own, F.col("po") + F.pmod(F.xxhash64("rep"), F.col("pm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("po"))).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(own, F.col("po")).otherwise(F.col("po") + F.col("pm")) - 1))).withColumns({"i": F.least("block", "with").cast("int"), "j": F.greatest("block", "with").cast("int")})
-    dealt = dealt.select("mark", "i", "j", "block", "rep", "n", "component", "hub", "bits")
-
-    def look(key: tuple, group: pa.Table) -> pa.Table:
-        mark, i, j = (k.as_py() for k in key)
-        pairs = _cross_pairs(group, share, i == j, most)
-        a, b = (pa.array(x, pa.int64()) for x in pairs) if pairs else (pa.nulls(1, pa.int64()),) * 2
-        where = (pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())) if pairs else (pa.array([mark], pa.int64()), pa.array([i], pa.int32()), pa.array([j], pa.int32()))
-        return pa.table([a, b, *where], ["a", "b", "mark", "i", "j"])
-
-    looked = stored(dealt.groupBy("mark", "i", "j").applyInArrow(look, "a long, b long, mark long, i int, j int"), "looked")
+    schema = pa.schema([("mark", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("hub", pa.int64()), ("bits", pa.binary())])
+    dealt = dealt.select(*schema.names)
+    out_names = ["a", "b", "mark", "i", "j"]
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = (pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], out_names)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the block that has not ended
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None and held and all(held[-1].column(c)[-1] == batch.column(c)[-1] for c in range(3)):
+                held.append(batch)
+                continue
+            parts = [*held, *([batch] if batch is not None else [])]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches(parts)
+            keys = np.stack([rows.column(c).to_numpy() for c in range(3)], 1)
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            whole = len(keys) if batch is None else int(ends[-1]) if len(ends) else 0
+            held = rows.slice(whole).to_batches()
+            if not whole:
+                continue
+            ends = np.union1d(ends[ends <= whole], [whole])
+            starts = np.r_[0, ends[:-1]]
+            few = ends - starts <= 2 * most + 1  # no more than `most` pairs for each row
+            for start, end in zip(starts[~few].tolist(), ends[~few].tolist()):
+                pairs = _cross_pairs(rows.slice(start, end - start), share, keys[start, 1] == keys[start, 2], most)
+                if pairs:
+                    yield found(*pairs)
+                else:
+                    one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([keys[start, c]], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32())))]
+                    yield pa.RecordBatch.from_arrays(one, out_names)
+            if few.any():
+                at = np.concatenate([np.arange(s, e) for s, e in zip(starts[few].tolist(), ends[few].tolist())])
+                own = rows.take(pa.array(at))
+                columns = {c: own[c].to_numpy() for c in ("rep", "n", "component", "hub", "block")} | {"cross": keys[at, 1] != keys[at, 2]}
+                yield found(*_small_pairs(columns, own["bits"].to_pylist(), np.cumsum((ends - starts)[few]), share))
+
+    by_block = dealt.repartition("mark", "i", "j").sortWithinPartitions("mark", "i", "j")
+    looked = stored(by_block.mapInArrow(look, "a long, b long, mark long, i int, j int"), "looked")
     links = _verified(looked.where("a is not null").select("a", "b").distinct(), rows, width, share)
     dense = looked.where("a is null").select("mark", "i", "j")
     full = dense.count()
