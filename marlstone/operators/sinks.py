@@ -37,12 +37,12 @@ def write_documents(docs: DataFrame, path: str, kind: str) -> None:
     docs.write.mode("overwrite").partitionBy(kind).parquet(path)
 
 
-def staged_files(records: DataFrame) -> DataFrame:
+def staged_files(records: DataFrame, *keep: str) -> DataFrame:
     """K4: path (from the tree's root) and content (binary) of the files of each record.
 
     records: kind, title, year, release, index, and as text or bytes metadata, release_record, disc, and cover, answer and
     front, which may be null. A title's folder holds metadata.json, cover.jpg and tmdb.json; its release's folder
-    release.json, front.jpg and the disc's own file. Files without content are left out.
+    release.json, front.jpg and the disc's own file. Files without content are left out; columns named in `keep` come along.
     """
     disc = staging_path(F.col("kind"), F.col("title"), F.col("year"), sanitise_dir(F.col("release")), F.col("index"))
     release = F.regexp_replace(disc, "/[^/]*$", "")
@@ -52,8 +52,8 @@ def staged_files(records: DataFrame) -> DataFrame:
         (under(title, "metadata.json"), "metadata"), (under(title, "cover.jpg"), "cover"), (under(title, "tmdb.json"), "answer"),
         (under(release, "release.json"), "release_record"), (under(release, "front.jpg"), "front"), (disc, "disc"),
     ]
-    rows = records.select(F.explode(F.array(*(F.struct(p.alias("path"), F.col(c).cast("binary").alias("content")) for p, c in files))).alias("f"))
-    return rows.select("f.path", "f.content").where("content is not null")
+    rows = records.select(*keep, F.explode(F.array(*(F.struct(p.alias("path"), F.col(c).cast("binary").alias("content")) for p, c in files))).alias("f"))
+    return rows.select(*keep, "f.path", "f.content").where("content is not null")
 
 
 def write_tree(files: DataFrame, root: str) -> None:

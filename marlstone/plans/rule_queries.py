@@ -354,6 +354,54 @@ def side_files(spark, sf_dir):
     return s.select("p_partkey", "s.disc_title", "s.num_sets", "s.set_number", F.try_element_at("s.title_names", F.lit(1)).alias("first_name"), F.col("s.error").isNotNull().alias("failed"))
 
 
+@_query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS n FROM lineitem WHERE l_orderkey % 5 < 3)
+SELECT l_orderkey::VARCHAR AS path, CAST(n AS INT) AS ord, lpad(l_linenumber::VARCHAR, 5, '0') AS clip, l_suppkey::BIGINT AS in_time, l_partkey::BIGINT AS out_time FROM i""")
+def play_items(spark, sf_dir):
+    c = F.col
+    item = F.format_string("0014%s4D325453000001%s%s", F.hex(F.lpad(_text(c("l_linenumber")), 5, "0").cast("binary")), F.lpad(F.hex(c("l_suppkey")), 8, "0"), F.lpad(F.hex(c("l_partkey")), 8, "0"))
+    lists = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", item.alias("x")))).alias("items"))
+    whole = F.unhex(F.concat(F.hex(F.lit(b"MPLS0200")), F.lit("0000000C000000000000"), F.lpad(F.hex(F.size("items")), 4, "0"), F.lit("0000"), F.array_join(c("items.x"), "")))
+    broken = F.when(c("l_orderkey") % 5 == 3, F.substring(whole, 1, F.length(whole) - 3)).when(c("l_orderkey") % 5 == 4, F.concat(F.lit(b"X"), whole)).otherwise(whole)
+    return files.play_items(lists.select(_text(c("l_orderkey")).alias("path"), broken.alias("content")))
+
+
+@_query("""SELECT o_custkey::VARCHAR AS scan_id, 'D' || max(o_orderkey) AS name, CASE WHEN bool_or(o_orderkey % 3 = 0) THEN 'L' END AS volume_label, '1.' || max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) % 30 || '.3' AS tool_version FROM orders GROUP BY o_custkey""")
+def disc_scans(spark, sf_dir):
+    key = F.col("o_orderkey")
+    flat = _log_records(spark, sf_dir, "CINFO", [(2, F.concat(F.lit("D"), _text(key))), (32, F.when(key % 3 == 0, "L"))], [])
+    said = F.concat(F.lit("tool v1."), _text(key % 30), F.lit(".3 linux"))
+    version = _t(spark, sf_dir, "orders").select(_text(F.col("o_custkey")).alias("scan_id"), (key * 100 + 99).alias("seq"), F.lit("MSG").alias("kind"), F.array(F.lit("1005"), F.lit("0"), F.when(key % 2 == 0, "1").otherwise("x"), said).alias("fields"))
+    return scan.scan_discs(scan.typed_records(flat.unionByName(version))).select("scan_id", "name", "volume_label", "tool_version")
+
+
+@_query("""SELECT p_partkey::VARCHAR AS path, kind, CAST(ord AS INT) AS ord, file_path FROM part, (VALUES ('posters', 0, 0), ('posters', 1, 1), ('posters', 2, 2), ('logos', 0, 3)) v(kind, ord, n), (SELECT ['a', 'b', 'c', 'l'] AS low, ['b', 'a', 'c', 'l'] AS high) f,
+LATERAL (SELECT CASE WHEN p_size % 3 > 1 THEN high[n + 1] ELSE low[n + 1] END AS file_path)""")
+def image_order(spark, sf_dir):
+    said = F.concat(F.lit('{"posters":[{"file_path":"a","vote_average":1.0},{"file_path":"b","vote_average":'), _text(F.col("p_size") % 3), F.lit('},{"file_path":"c"}],"backdrops":[],"logos":[{"file_path":"l","vote_average":0.5}]}'))
+    found = files.images(_answers(_t(spark, sf_dir, "part"), "p_partkey", said, files.IMAGES))
+    return found.select("path", "kind", "ord", "file_path")
+
+
+@_query("""SELECT p_partkey::VARCHAR AS path, CASE p_partkey % 4 WHEN 0 THEN 'Movie' WHEN 1 THEN 'Series' WHEN 2 THEN 'Movie' END AS kind, CASE WHEN p_partkey % 4 < 3 THEN p_partkey END AS tmdb_id FROM part""")
+def find_answers(spark, sf_dir):
+    key = F.col("p_partkey")
+    own = F.concat(F.lit('{"id":'), _text(key), F.lit("}"))
+    cases = [F.concat(F.lit('{"movie_results":['), own, F.lit(',{"id":-1}],"tv_results":[]}')), F.concat(F.lit('{"movie_results":[],"tv_results":['), own, F.lit("]}")), F.concat(F.lit('{"movie_results":['), own, F.lit('],"tv_results":[{"id":-2}]}')), F.lit('{"movie_results":[]}')]
+    return files.finds(_answers(_t(spark, sf_dir, "part"), "p_partkey", _nth(cases, key), files.FIND))
+
+
+@_query("""WITH p AS (SELECT *, 'data/' || CASE WHEN p_partkey % 2 = 0 THEN 'series' ELSE 'movie' END || '/' || p_name || ' (' || (1950 + p_size) || ')' AS title FROM part)
+SELECT p_partkey, title || f AS path, octet_length(encode(content))::INT AS size FROM p, LATERAL (VALUES ('/metadata.json', '{' || p_name || '}'), ('/r_' || p_size || '/release.json', '{r}'), ('/r_' || p_size || '/disc0' || greatest(p_partkey % 5, 1) || '.json', '{d}'),
+('/cover.jpg', CASE WHEN p_partkey % 3 = 0 THEN p_brand END), ('/r_' || p_size || '/front.jpg', CASE WHEN p_partkey % 4 = 0 THEN 'f' END), ('/tmdb.json', CASE WHEN p_partkey % 7 = 0 THEN '{t}' END)) v(f, content) WHERE content IS NOT NULL""")
+def staged_files(spark, sf_dir):
+    key, c = F.col("p_partkey"), F.col
+    rows = _t(spark, sf_dir, "part").select(
+        F.when(key % 2 == 0, "Series").otherwise("Movie").alias("kind"), c("p_name").alias("title"), (1950 + c("p_size")).alias("year"), F.concat(F.lit("r/"), _text(c("p_size"))).alias("release"), (key % 5).cast("int").alias("index"),
+        F.concat(F.lit("{"), "p_name", F.lit("}")).alias("metadata"), F.lit("{r}").alias("release_record"), F.lit("{d}").alias("disc"), F.when(key % 3 == 0, c("p_brand")).alias("cover"), F.when(key % 7 == 0, "{t}").alias("answer"), F.when(key % 4 == 0, "f").alias("front"), key,
+    )
+    return sinks.staged_files(rows, "p_partkey").select("p_partkey", "path", F.octet_length("content").alias("size"))
+
+
 # Streams as tables ----------------------------------------------------------------------------------------------------
 
 

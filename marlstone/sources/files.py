@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.conversion import ENCODERS
 from ..functions.text import ascii_lower, format_duration_full, format_size, nonempty, octal_unescape, year_of_date
+from ..operators.identify import first_candidate
 
 CATALOGUE_DISC = """Index int, Slug string, Name string, Format string, ContentHash string, Titles array<struct<Index: int, Comment: string, SourceFile: string, SegmentMap: string, Duration: string, Size: bigint,
 Item: struct<Title: string, Type: string, Season: int, Episode: int, Chapters: array<struct<Index: int, Title: string>>>>>"""
@@ -183,16 +184,20 @@ def parse_playlist(data: bytes) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def read_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """play_item rows of every playlist under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mpls").load(path).select("path", "content")
+def play_items(playlists: DataFrame) -> DataFrame:
+    """Path, ord, clip, in_time and out_time of each item of the playlists (path, content); broken ones have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, i, *x) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x in enumerate(parse_playlist(d) or [])]
+            rows = [(p, i, *x) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x in enumerate(parse_playlist(d or b"") or [])]
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "ord", "clip", "in_time", "out_time"), r)) for r in rows], pa.schema([("path", pa.string()), ("ord", pa.int32()), ("clip", pa.string()), ("in_time", pa.int64()), ("out_time", pa.int64())]))
 
-    return files.mapInArrow(run, "path string, ord int, clip string, in_time long, out_time long")
+    return playlists.select("path", "content").mapInArrow(run, "path string, ord int, clip string, in_time long, out_time long")
+
+
+def read_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """The items of every playlist under path."""
+    return play_items(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mpls").load(path))
 
 
 def region_mask(content: Column) -> Column:
@@ -333,23 +338,33 @@ def read_series_details(spark: SparkSession, path: str) -> DataFrame:
     return series_details(_json(spark, SERIES, path, "*.json"))
 
 
-def read_finds(spark: SparkSession, path: str) -> DataFrame:
-    """Kind and tmdb_id of the first movie, else of the first series; null where neither was found."""
-    from ..operators.identify import first_candidate
-
+def finds(raw: DataFrame) -> DataFrame:
+    """Kind and tmdb_id of the first movie, else of the first series; null where neither was found; raw has path
+    and the columns of FIND."""
     found = first_candidate(F.col("movie_results"), F.col("tv_results"))
-    return _json(spark, FIND, path, "*.json").select("path", found["kind"].alias("kind"), found["hit"]["id"].alias("tmdb_id"))
+    return raw.select("path", found["kind"].alias("kind"), found["hit"]["id"].alias("tmdb_id"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images by kind, the best voted first and ties in their order (ord from 0)."""
+def read_finds(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers to finds by id."""
+    return finds(_json(spark, FIND, path, "*.json"))
+
+
+def images(raw: DataFrame) -> DataFrame:
+    """Images by kind, the best voted first and ties in their order (ord from 0); raw has path and the columns of
+    IMAGES."""
     kinds = ("posters", "backdrops", "logos")
-    raw = _json(spark, IMAGES, path, "*.json").select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("images")) for k in kinds))).alias("x"))
+    raw = raw.select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("images")) for k in kinds))).alias("x"))
     rows = raw.select("path", "x.kind", F.posexplode("x.images").alias("_pos", "image"))
     best = Window.partitionBy("path", "kind").orderBy(F.col("image.vote_average").desc_nulls_last(), "_pos")
     return rows.select("path", "kind", (F.row_number().over(best) - 1).alias("ord"), "image.*")
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers on images."""
+    return images(_json(spark, IMAGES, path, "*.json"))
+
+
 def read_library(spark: SparkSession, path: str, kind: str, season: int | None = None) -> DataFrame:
     """Rows of landed lists of movies, series or episodes (of one season, if given)."""
     rows = _json(spark, LIBRARIES[kind], path, "*.json")
