@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -79,7 +80,7 @@ class Lattice:
     SLOTS = 20
 
     def __init__(self, pieces: list[str], probs: np.ndarray, floor: float):
-        self.probs, self.floor, self.longest = np.ascontiguousarray(probs), floor, max(map(len, pieces))
+        self.pieces, self.probs, self.floor, self.longest = pieces, np.ascontiguousarray(probs), floor, max(map(len, pieces))
         table = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
         runs = sorted(table, key=len)
         self.number = np.array([table[r] for r in runs], np.int32)
@@ -101,6 +102,11 @@ class Lattice:
             self.tables.append(own)
             left = np.delete(left, first)
 
+    @cached_property
+    def table(self) -> dict[str, tuple[float, ...] | bool]:
+        """What forward() takes, for words that are too long for scores()."""
+        return piece_table(self.pieces, self.probs)
+
     @staticmethod
     def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -258,9 +264,8 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
         pieces = vocabulary(vocabulary_path)
         if model_key not in _SCORES:
             _SCORES.clear()
-            _SCORES[model_key] = {}, np.zeros((CACHE // max(n, 1), n)), piece_table(pieces, probs), Lattice(pieces, probs, floor)
-        index, scores, table, lattice = _SCORES[model_key]
-        longest = lattice.longest
+            _SCORES[model_key] = {}, np.zeros((CACHE // max(n, 1), n)), Lattice(pieces, probs, floor)
+        index, scores, lattice = _SCORES[model_key]
         texts = batch.column(1).to_pylist()
         split = [LETTERS.findall((t or "").lower()) for t in texts]
         pred, score = [], []
@@ -270,7 +275,7 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
                 index.clear()
                 new = set(chain.from_iterable(split))
             if len(new) > len(scores):  # one text may have more distinct words than the cache
-                _SCORES[model_key] = index, scores, table, lattice = index, np.zeros((len(new), n)), table, lattice
+                _SCORES[model_key] = index, scores, lattice = index, np.zeros((len(new), n)), lattice
             short = [w for w in new if len(w) < 24]
             step = max(1, PART // n)
             for at in range(0, len(short), step):
@@ -279,7 +284,7 @@ def identify(docs: DataFrame, id_col: str, text_col: str, langs: list[str], prob
                 index.update(zip(part, range(len(index), len(index) + len(part))))
             for w in new:
                 if len(w) >= 24:
-                    scores[len(index)] = forward("▁" + w, table, n, longest, floor)
+                    scores[len(index)] = forward("▁" + w, lattice.table, n, lattice.longest, floor)
                     index[w] = len(index)
         for words in split:
             if not words or not n:

@@ -128,7 +128,7 @@ def test_long_texts(spark):
     assert got[1] == got[3] and set(got.values()) <= {"a", "b"}
     page = "<div class=x>" + "".join(f"<p>{long[k : k + 1000]}." for k in range(0, len(long), 1000)) + "</div><div class=y>short</div>"
     text = html.main_text(page, None)
-    assert text.split("\n") == [" ".join(long[k : k + 1000].split()) + "." for k in range(0, len(long), 1000)]
+    assert text.split("\n") == [" ".join(f"{long[k : k + 1000]}.".split()) for k in range(0, len(long), 1000)]
 
 
 def test_ties_of_languages(spark):
