@@ -21,7 +21,7 @@ class Anchors:
     context: np.ndarray
 
 
-def find(data: list[bytes], window: int, gram: int, part: int = 1 << 20) -> Anchors:
+def find(data: list[bytes], window: int, gram: int, part: int = 1 << 18) -> Anchors:
     """The anchors of every text of at least `window` bytes.
 
     In each string of `window` bytes the gram of `gram` bytes with the least hash (the first of equal ones) is an anchor.

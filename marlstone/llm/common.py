@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 
 #: Rows of an Arrow batch are handed on in slices of about so many bytes, or one row.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

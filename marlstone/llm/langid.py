@@ -17,7 +17,7 @@ from .shingles import _powers, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Scores (one a word and language) that a Python worker remembers; beyond it, it starts anew. Those made at once.
-CACHE, PART = 1_200_000, 80_000
+CACHE, PART = 800_000, 40_000
 _PIECES: dict[str, list[str]] = {}
 _SCORES: dict[int, tuple] = {}
 

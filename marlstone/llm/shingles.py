@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], width: int, part: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int, part: int = 1 << 18) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
     Words are runs of bytes other than the six ASCII white-space bytes, A-Z in lower case. A text with fewer words than
