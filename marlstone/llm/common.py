@@ -39,7 +39,7 @@ def tuned(spark: SparkSession) -> SparkSession:
 
     They bound what JVM and Python workers hold at a time; a value that somebody else has set stays.
     """
-    for name, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8MB")):
+    for name, default, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "2MB")):
         if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     return spark
