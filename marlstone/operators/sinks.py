@@ -27,7 +27,7 @@ def numbered_chapters(titles: Column) -> Column:
 
 def disc_json(df: DataFrame, keys: list[str], fields: dict[str, Column], titles: Column, order: Column) -> DataFrame:
     """K1: a JSON document per disc; null fields are left out at every depth, titles come in order."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), titles.alias("t")))), lambda x: x["t"])
+    items = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), titles.alias("t")))), lambda x: x["t"])
     grouped = df.groupBy(*keys).agg(items.alias("Titles"))
     return grouped.select(*keys, F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items())), "Titles")).alias("document"))
 

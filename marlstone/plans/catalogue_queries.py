@@ -455,17 +455,20 @@ _register_extras()
 @_query("""SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS disc, 'bluray' AS format, count(*) AS titles, count(*) FILTER (WHERE l_returnflag <> 'N') AS items, CAST(sum(l_quantity::BIGINT) AS BIGINT) AS size,
 string_agg(l_linenumber::VARCHAR || ':' || coalesce(nullif(l_returnflag, 'N'), '-'), ' ' ORDER BY l_linenumber, l_partkey, l_quantity) AS shown FROM lineitem GROUP BY l_orderkey""")
 def render_json(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem")
-    title = F.struct(F.col("l_linenumber").alias("Index"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Item"), F.col("l_quantity").cast("bigint").alias("Size"))
-    docs = sinks.disc_json(lines, ["l_orderkey"], {"Index": F.col("l_orderkey"), "Format": F.lit("bluray")}, title, F.struct("l_linenumber", "l_partkey", "l_quantity"))
+    # Nulls come last; lines equal in all three come as they stand in the files.
+    lines = _t(spark, sf_dir, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index")
+    title = F.struct(F.col("l_linenumber").alias("Index"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("Item"), F.rint("l_quantity").cast("bigint").alias("Size"))
+    order = F.struct(*(x for n in ("l_linenumber", "l_partkey", "l_quantity") for x in (F.col(n).isNull().alias(f"no_{n}"), F.col(n))), "file_path", "row_index")
+    docs = sinks.disc_json(lines, ["l_orderkey"], {"Index": F.col("l_orderkey"), "Format": F.lit("bluray")}, title, order)
     doc = F.col("document")
-    keys = lambda t: F.json_object_keys(t)
-    back = docs.select("l_orderkey", doc, F.from_json(F.get_json_object(doc, "$.Titles"), "array<string>").alias("t"))
-    of = lambda t, name: F.get_json_object(t, f"$.{name}")
-    return back.select(
-        "l_orderkey", of(doc, "Index").alias("disc"), of(doc, "Format").alias("format"), F.size("t").cast("bigint").alias("titles"), F.size(F.filter("t", lambda t: F.array_contains(keys(t), "Item"))).cast("bigint").alias("items"),
-        F.aggregate("t", F.lit(0).cast("bigint"), lambda s, t: s + of(t, "Size").cast("bigint")).alias("size"), F.array_join(F.transform("t", lambda t: F.concat(of(t, "Index"), F.lit(":"), F.coalesce(of(t, "Item"), F.lit("-")))), " ").alias("shown"),
+    back = docs.select("l_orderkey", doc, F.from_json(F.get_json_object(doc, "$.Titles"), "array<map<string,string>>").alias("t"))
+    of = lambda name: F.get_json_object(doc, f"$.{name}")
+    read = back.select(
+        "l_orderkey", of("Index").alias("disc"), of("Format").alias("format"), F.size("t").cast("bigint").alias("titles"), F.size(F.filter("t", lambda t: F.map_contains_key(t, "Item"))).cast("bigint").alias("items"),
+        F.filter(F.transform("t", lambda t: t["Size"].cast("bigint")), lambda x: x.isNotNull()).alias("sizes"), F.array_join(F.transform("t", lambda t: F.concat(t["Index"], F.lit(":"), F.coalesce(t["Item"], F.lit("-")))), " ").alias("shown"),
     )
+    size = F.aggregate("sizes", F.lit(None).cast("bigint"), lambda s, x: F.coalesce(s, F.lit(0)) + x)
+    return read.select("l_orderkey", "disc", "format", "titles", "items", size.alias("size"), F.when(F.col("shown") != "", F.col("shown")).alias("shown"))
 
 
 @_query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT') DESC, o_orderdate, o_orderkey) AS INT) AS display_rank FROM orders")

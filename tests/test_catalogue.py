@@ -35,6 +35,30 @@ def test_query_equals_sql(spark, name):
     assert values(got.toPandas()) == values(con.execute(ORACLES[name]).df())
 
 
+@pytest.mark.parametrize(
+    "lines",
+    [
+        [(1, 5, 2, 3.0, "R"), (1, 5, 2, 3.0, "N"), (1, 5, 2, 3.0, "A"), (2, 5, 2, 3.0, "A"), (2, 5, 2, 3.0, "N"), (2, 5, 1, 3.0, "R")],
+        [(1, 5, 1, 0.5, "N"), (1, 5, 2, 1.5, "R"), (2, 5, 1, 2.5, "A"), (3, 5, 1, 7.75, "A"), (4, 5, 1, -2.6, "A")],
+        [(1, 5, 1, None, "N"), (1, 6, 1, 4.0, "R"), (2, 5, 1, None, "A"), (3, 6, 1, None, "N"), (3, 5, 1, 2.0, "A")],
+        [(1, None, 1, 1.0, "R"), (1, 5, 1, 1.0, "N"), (2, 5, None, 1.0, "A"), (2, 5, 7, 1.0, "N"), (3, 5, None, 1.0, "A"), (4, 5, 1, None, "A"), (4, 5, 1, 9.0, "R")],
+        [(None, 5, 1, 1.0, ""), (None, 6, 1, 1.0, None), (1, 5, 1, 1.0, "a\"\\\n\u20ac"), (1, 6, 1, 1.0, "null"), (1, 7, 1, 1.0, ""), (1, 7, 1, 1.0, "[1]")],
+    ],
+    ids=["ties", "fractions", "no quantity", "no number", "odd flags"],
+)
+def test_render_json_equals_sql_on_odd_lines(spark, tmp_path, lines):
+    columns = {"l_orderkey": "Int64", "l_partkey": "Int64", "l_linenumber": "Int32", "l_quantity": "Float64", "l_returnflag": "object"}
+    frame = pd.DataFrame(lines, columns=list(columns)).astype(columns)
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n, part in enumerate((frame[:2], frame[2:])):  # ties go over the end of a file, too
+        part.to_parquet(tmp_path / f"lineitem.parquet/part-{n}.parquet", index=False)
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLES["render_json"]).fetchall()
+    got = [tuple(r) for r in QUERIES["render_json"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize(("label", "title", "season"), [("DOBIEGILLIS_S1D1", "Dobiegillis", 1), ("the_expanse_s02d03", "The Expanse", 2), ("Buffy The Vampire Slayer S7", "Buffy The Vampire Slayer", 7), ("Random Disc", "Random Disc", None)])
 def test_series_labels(spark, label, title, season):
     assert one(spark, text.series_title(F.lit(label))) == title
